@@ -1,11 +1,22 @@
 """The subpackage's queries and their SQL, added to the driver contract when it can be imported."""
 
-from . import groups, pieces
+from . import encoding, groups, handwritten, leakage, mixing, pieces, syntax
 
 QUERIES = {
     "p1_found": groups.p1_found,
     "p2_found": pieces.p2_found,
     "p2_pieces": pieces.p2_pieces,
+    "p3_found": handwritten.p3_found,
+    "p3_reasons": handwritten.p3_reasons,
+    "p4_found": syntax.p4_found,
+    "p4_errors": syntax.p4_errors,
+    "p4_rates": syntax.p4_rates,
+    "p6_found": leakage.p6_found,
+    "p6_items": leakage.p6_items,
+    "p7_mix": mixing.p7_mix,
+    "p7_shares": mixing.p7_shares,
+    "p8_found": encoding.p8_found,
+    "p8_restored": encoding.p8_restored,
 }
 
 SQL = {
