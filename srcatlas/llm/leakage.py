@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAST, ONE_IN, SEEDS_IN_WINDOW, GRAM = 20, 8, 8, 3
+LEAST, ONE_IN, SEEDS_IN_WINDOW, GRAM, REMARKS = 20, 8, 8, 3, 3
 BLOCK_BYTES = 16 << 20  # of item text that is sent to the tasks at once
 _WORD = re.compile(r"[^\W_]+")
 _FIRST = re.compile(r"\s*[^\n]*?(?:[.?!:](?=\s|$)|(?=\n))")
@@ -76,7 +76,7 @@ class Index:
                     where[int(g)].add(n)
         self.seeds = np.array(sorted(where), np.int64)
         self.owners = [sorted(where[int(s)]) for s in self.seeds]
-        self.sets = [np.unique(g) for g in grams]
+        self.all = grams
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         if len(ids) < GRAM:
@@ -127,8 +127,10 @@ class Index:
         spans.append((start, end))
         for a, b in spans:
             d = ids[max(0, a - reach) : b + reach]
-            # 20 words with up to three exchanged and a remark inside keep five trigrams at the least.
-            if np.isin(self.sets[n], self.grams(d), assume_unique=False).sum() < 5:
+            # 20 words with two exchanged and three remarks among them keep six of their 18 trigrams.
+            kept = np.cumsum(np.r_[0, np.isin(self.all[n], self.grams(d))])
+            span = min(LEAST - GRAM + 1, len(kept) - 1)
+            if (kept[span:] - kept[:-span]).max() < LEAST - GRAM + 1 - GRAM * (LEAST // ONE_IN) - 2 * REMARKS:
                 continue
             got = covered(p, d)
             if got and (best is None or got > best):
