@@ -115,7 +115,7 @@ class Index:
 
     def _best(self, n: int, ids: np.ndarray, where: list[int]) -> tuple[int, float] | None:
         p = self.passages[n]
-        reach = 2 * len(p) + 120
+        reach = len(p) + len(p) // 4 + 10 * REMARKS
         best: tuple[int, float] | None = None
         start = end = where[0]
         spans = []
