@@ -84,6 +84,15 @@ SIGNALS = [
 ]
 
 
+# Display names of languages.
+LANG_DISPLAY = {
+    "javascript": "JavaScript", "javascriptreact": "JavaScript (JSX)", "typescript": "TypeScript", "typescriptreact": "TypeScript (TSX)", "json": "JSON", "yaml": "YAML", "toml": "TOML", "css": "CSS",
+    "scss": "SCSS", "sass": "Sass", "less": "Less", "markdown": "Markdown", "html": "HTML", "text": "plain-text", "sql": "SQL", "dotenv": "dotenv", "svg": "SVG",
+}
+# Node colours of the viewer.
+COLORS = {"code": "#be5985", "package": "#2ca02c", "config": "#9467bd", "docs": "#d97706", "media": "#d97706", "style": "#9467bd", "database": "#9467bd", "other": "#be5985", "isolated": "#a89098"}
+
+
 def by_key(table: dict[str, str], dot: bool = False) -> dict[str, str]:
     """Key -> value of a table kept as value -> keys."""
     return {("." if dot else "") + k: v for v, ks in table.items() for k in ks.split()}

@@ -38,6 +38,10 @@ def language(name: Column) -> Column:
     return F.coalesce(F.when((name == ".env") | name.startswith(".env."), "dotenv"), lookup(extension(name), rules.by_key(rules.EXT_LANGUAGE, True)), F.lit("unknown"))
 
 
+def lang_display(c: Column) -> Column:
+    return F.coalesce(lookup(F.coalesce(c, F.lit("")), rules.LANG_DISPLAY), F.nullif(c, F.lit("")), F.lit("unknown"))
+
+
 def round_half_up(x: Column, digits: int = 1) -> Column:
     """floor(x * 10^k + 0.5) / 10^k, which differs from round() on halves that binary can't hold."""
     return F.floor(x * F.lit(float(10**digits)) + 0.5) / F.lit(float(10**digits))

@@ -262,7 +262,7 @@ def truncate_head_tail(spark, sf_dir):
     return read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", S.truncate_head_tail(F.col("text"), 400).alias("prompt"))
 
 
-_LANG = "coalesce(language, 'unknown')"
+_LANG = "CASE language " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.LANG_DISPLAY.items()) + " ELSE coalesce(nullif(language, ''), 'unknown') END"
 _LABEL = "CASE type WHEN 'config' THEN ' configuration file (' WHEN 'docs' THEN ' documentation file (' WHEN 'media' THEN ' media asset (' WHEN 'style' THEN ' stylesheet (' WHEN 'database' THEN ' SQL/database file (' ELSE ' file (' END"
 _KB = "CAST(CAST(floor(coalesce(size_bytes, 0) / 102.4 + 0.5) AS BIGINT) // 10 AS VARCHAR) || '.' || CAST(CAST(floor(coalesce(size_bytes, 0) / 102.4 + 0.5) AS BIGINT) % 10 AS VARCHAR)"
 
@@ -274,7 +274,7 @@ def heuristic_noncode_description(spark, sf_dir):
     kinds = {"config": " configuration file (", "docs": " documentation file (", "media": " media asset (", "style": " stylesheet (", "database": " SQL/database file ("}
     label = F.coalesce(S.lookup(F.coalesce("type", F.lit("")), kinds), F.lit(" file ("))
     df = files(spark, sf_dir, "name", "path", "type", "language", "size_bytes").filter("coalesce(type, '') <> 'code'")
-    return df.select(F.col("id").alias("file_id"), F.concat(F.coalesce("language", F.lit("unknown")), label, "name", F.lit(", "), kb, F.lit(" KB) at `"), "path", F.lit("`.")).alias("description"))
+    return df.select(F.col("id").alias("file_id"), F.concat(S.lang_display(F.col("language")), label, "name", F.lit(", "), kb, F.lit(" KB) at `"), "path", F.lit("`.")).alias("description"))
 
 
 @query(sql("SELECT hash, ext, count(*) AS n_files, min(id) AS first_id FROM (SELECT id, md5(content) AS hash, " + _EXT + " AS ext FROM f WHERE type = 'code' AND content IS NOT NULL) GROUP BY 1, 2"))
