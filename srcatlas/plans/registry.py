@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ..operators import compaction
 
-_MODULES: tuple[str, ...] = ("file_queries", "graph_queries", "describe_queries")
+_MODULES: tuple[str, ...] = ("file_queries", "graph_queries", "describe_queries", "source_queries")
 
 
 def queries() -> dict:
