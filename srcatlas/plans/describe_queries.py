@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import scalars as S
 from ..operators.describe import file_description
+from ..operators import links as L
 from .base import files, read, sql
+from .graph_queries import IMP, RES, TGT
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -244,3 +246,13 @@ def extract_exports(spark, sf_dir):
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def events_daily(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(F.date_format(F.window("ts", "1 day")["start"], "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT i.from_id AS file_id, g.path, c.d AS description FROM (SELECT DISTINCT from_id, to_id FROM res) i JOIN f g ON g.id = i.to_id JOIN (SELECT repo_id, path, max(description) AS d FROM cache GROUP BY 1, 2) c ON c.repo_id = g.repo_id AND c.path = g.path", IMP, TGT, RES, CACHE))
+def dependency_descriptions(spark, sf_dir):
+    """Descriptions already stored of the files a file imports."""
+    fs = files(spark, sf_dir, "repo_id", "path", "imports")
+    used = L.resolve_files(L.imports_of(fs), fs).select("from_id", "to_id").distinct()
+    rec = cache(spark, sf_dir).groupBy("repo_id", "path").agg(F.max("description").alias("description"))
+    told = fs.select(F.col("id").alias("to_id"), "repo_id", "path").join(rec, ["repo_id", "path"])
+    return used.join(told, "to_id").select(F.col("from_id").alias("file_id"), "path", "description")

@@ -32,17 +32,21 @@ _EXT = f"lower(regexp_extract({_BASE}, '^.+(\\.[^.]*)$', 1))"
 _SPECIAL = " ".join(f"WHEN {_BASE} IN ({_in(ns)}) THEN '{c}'" for c, ns in rules.SPECIAL.items())
 _CATEGORY = f"CASE {_SPECIAL} WHEN starts_with({_BASE}, '.env.') THEN 'config' " + " ".join(f"WHEN {_EXT} IN ({_in('.' + e for e in es.split())}) THEN '{c}'" for c, es in rules.EXT_CATEGORY.items()) + " ELSE 'other' END"
 _LANGUAGE = f"CASE WHEN {_BASE} = '.env' OR starts_with({_BASE}, '.env.') THEN 'dotenv' " + " ".join(f"WHEN {_EXT} IN ({_in('.' + e for e in es.split())}) THEN '{c}'" for c, es in rules.EXT_LANGUAGE.items()) + " ELSE 'unknown' END"
-_NAME = S.basename(F.col("path"))
+
+
+def _name():
+    return S.basename(F.col("path"))
+
 
 
 @query(sql(f"SELECT id AS file_id, {_CATEGORY} AS category FROM f"))
 def file_category(spark, sf_dir):
-    return files(spark, sf_dir, "path").select(F.col("id").alias("file_id"), S.category(_NAME).alias("category"))
+    return files(spark, sf_dir, "path").select(F.col("id").alias("file_id"), S.category(_name()).alias("category"))
 
 
 @query(sql(f"SELECT id AS file_id, {_LANGUAGE} AS language FROM f"))
 def file_language(spark, sf_dir):
-    return files(spark, sf_dir, "path").select(F.col("id").alias("file_id"), S.language(_NAME).alias("language"))
+    return files(spark, sf_dir, "path").select(F.col("id").alias("file_id"), S.language(_name()).alias("language"))
 
 
 @query(sql("SELECT id AS file_id, md5(content) AS hash FROM f"))
@@ -63,7 +67,7 @@ def filter_code(spark, sf_dir):
 
 @query(sql(f"SELECT id AS file_id, path FROM f WHERE {_CATEGORY} NOT IN ({_in(rules.HARD_SKIP)})"))
 def hard_skip_filter(spark, sf_dir):
-    return files(spark, sf_dir, "path").filter(~S.category(_NAME).isin(*rules.HARD_SKIP)).select(F.col("id").alias("file_id"), "path")
+    return files(spark, sf_dir, "path").filter(~S.category(_name()).isin(*rules.HARD_SKIP)).select(F.col("id").alias("file_id"), "path")
 
 
 @query(sql(f"SELECT id AS file_id, NOT regexp_matches(path, '{'|'.join(f'(?:{p})' for p in rules.SKIP_PATHS)}') AS summarizable, CASE WHEN regexp_matches(path, '{'|'.join(f'(?:{p})' for p in rules.SKIP_PATHS)}') THEN 'filtered_by_heuristic' END AS skip_reason FROM f"))
@@ -87,7 +91,7 @@ def file_role_flags(spark, sf_dir):
     empty = lambda c: F.coalesce(F.col(c), F.array())
     return files(spark, sf_dir, "path", "language", "imports", "functions").select(
         F.col("id").alias("file_id"),
-        (_NAME.rlike(r"\.(test|spec)\.[tj]sx?$") | F.array_contains(segs, "__tests__")).alias("is_test"),
+        (_name().rlike(r"\.(test|spec)\.[tj]sx?$") | F.array_contains(segs, "__tests__")).alias("is_test"),
         (F.coalesce(F.col("language").endswith("react"), F.lit(False)) | F.exists(F.coalesce("imports", F.array().cast(IMPORTS)), lambda i: F.coalesce(i["source"].isin("react", "preact"), F.lit(False)))).alias("is_react"),
         F.exists(F.coalesce("functions", F.array().cast(FUNCTIONS)), lambda f: F.coalesce(f["signature"], F.lit("")).rlike(r"req[,\s].*res")).alias("is_middleware"),
         (F.array_contains(segs, "api") & F.arrays_overlap(segs, F.array(*map(F.lit, ["pages", "app", "routes"])))).alias("is_api_route"),
@@ -196,7 +200,7 @@ def _names():
 
 @query(sql(f"SELECT file_id, {_ROLE} AS role FROM (SELECT id AS file_id, {_HAY} AS h FROM f)"))
 def ui_role(spark, sf_dir):
-    return files(spark, sf_dir, "path", "functions").select(F.col("id").alias("file_id"), S.ui_role(F.col("path"), _NAME, _names()).alias("role"))
+    return files(spark, sf_dir, "path", "functions").select(F.col("id").alias("file_id"), S.ui_role(F.col("path"), _name(), _names()).alias("role"))
 
 
 _TESTS = {"s": "regexp_matches(sn, '{}')", "r": "(regexp_matches(sn, '{}') OR list_has_any(src, ['react-router-dom', 'react-router']))", "l": "regexp_matches(lower(sn), '{}')", "b": "(regexp_matches(lower(sn), '{0}') OR regexp_matches(h, '{0}'))"}
@@ -207,7 +211,7 @@ _SIG = "[" + ", ".join(f"CASE WHEN {_TESTS[k].format(p)} THEN '{s}' END" for k,
 def behavior_signals(spark, sf_dir):
     src = F.transform(F.coalesce("imports", F.array().cast(IMPORTS)), lambda i: i["source"])
     df = files(spark, sf_dir, "path", "functions", "imports", "content", "type").filter("content IS NOT NULL AND type = 'code'")
-    return df.select(F.col("id").alias("file_id"), F.array_join(S.behavior_signals(F.col("path"), _NAME, _names(), F.coalesce(src, F.array().cast("array<string>")), F.substring("content", 1, 500)), "; ").alias("signals"))
+    return df.select(F.col("id").alias("file_id"), F.array_join(S.behavior_signals(F.col("path"), _name(), _names(), F.coalesce(src, F.array().cast("array<string>")), F.substring("content", 1, 500)), "; ").alias("signals"))
 
 
 _ENV = "list_concat(list_concat(list_concat(list_concat({}, {}), {}), {}), {})".format(*["regexp_extract_all(content, '" + p.replace("'", "''") + "', 1)" for p in S.ENV_PATTERNS])
@@ -280,7 +284,7 @@ def heuristic_noncode_description(spark, sf_dir):
 @query(sql("SELECT hash, ext, count(*) AS n_files, min(id) AS first_id FROM (SELECT id, md5(content) AS hash, " + _EXT + " AS ext FROM f WHERE type = 'code' AND content IS NOT NULL) GROUP BY 1, 2"))
 def parse_dedup_by_hash(spark, sf_dir):
     df = files(spark, sf_dir, "path", "content", "type").filter("type = 'code' AND content IS NOT NULL")
-    return df.groupBy(F.md5(F.encode("content", "utf-8")).alias("hash"), S.extension(_NAME).alias("ext")).agg(F.count("*").alias("n_files"), F.min("id").alias("first_id"))
+    return df.groupBy(F.md5(F.encode("content", "utf-8")).alias("hash"), S.extension(_name()).alias("ext")).agg(F.count("*").alias("n_files"), F.min("id").alias("first_id"))
 
 
 @query(sql("SELECT repo_id, count(*) AS files_analyzed, count_if(type = 'code') AS files_summarizable FROM f GROUP BY 1"))
