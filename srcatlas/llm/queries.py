@@ -20,6 +20,19 @@ QUERIES = {
 }
 
 SQL = {
+    "p1_found": """
+WITH RECURSIVE ids AS (SELECT DISTINCT id, lower(trim(id)) AS k FROM files WHERE id IS NOT NULL),
+m AS (SELECT n.rn, lower(trim(u.m)) AS k FROM (SELECT row_number() OVER () AS rn, files FROM networks WHERE type = 'active') n, UNNEST(n.files) u(m) WHERE lower(trim(u.m)) IN (SELECT k FROM ids)),
+l AS (SELECT lower(trim(from_file_id)) AS a, lower(trim(to_file_id)) AS b FROM links
+      UNION SELECT min(k) OVER (PARTITION BY rn), k FROM m),
+e AS (SELECT a, b FROM l WHERE a IN (SELECT k FROM ids) AND b IN (SELECT k FROM ids) AND a <> b),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc(k, c) USING KEY (k) AS (
+  SELECT k, min(id) FROM ids GROUP BY 1
+  UNION
+  SELECT u.b, min(x.c) FROM cc x JOIN u ON u.a = x.k JOIN recurring.cc y ON y.k = u.b WHERE x.c < y.c GROUP BY u.b)
+SELECT ids.id AS file_id, cc.c AS group_id FROM ids JOIN cc USING (k)
+""",
     "p2_found": """
 WITH lines AS (
   SELECT DISTINCT f.content, u.fn FROM files f, UNNEST(f.functions) u(fn) WHERE length(f.content) > 2000
