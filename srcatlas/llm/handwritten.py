@@ -182,7 +182,7 @@ def verdict(path: str | None, content: str | None) -> str | None:
 def code_hash(content: str | None) -> str | None:
     """Hash of the code without comments and white space; None where little is left."""
     code = re.sub(r"\s+", "", _COMMENT.sub("", content or ""))
-    return hashlib.md5(code.encode("utf-8", "surrogatepass")).hexdigest() if len(code) >= 200 else None
+    return hashlib.md5(code.encode("utf-8", "surrogatepass")).hexdigest() if len(code) >= 160 else None
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

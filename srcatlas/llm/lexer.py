@@ -299,7 +299,7 @@ def _next(k: list[str], i: int) -> int:
 
 def _types(k: list[str], jsx: bool) -> None:
     """Angle brackets around types."""
-    done = -1
+    done = -1  # up to here the brackets belong to the types found last
     for i, c in enumerate(k):
         if c != "<" or i <= done:
             continue
@@ -334,7 +334,7 @@ def _types(k: list[str], jsx: bool) -> None:
         for a, b in pairs:
             k[a], k[b] = K["T<"], K["T>"]
         done = j
-        if prefix and k[n] == "(" and p >= 0 or prefix and k[n] == "(" and p < 0:
+        if k[n] == "(" and (prefix or k[p] == _SOFTK["async"]):
             k[i] = K["T<"] + "?"  # settled once arrows are known
 
 
@@ -432,7 +432,7 @@ def _soft(k: list[str], match: list[int], ts: bool) -> None:
         elif c == S["async"]:
             if raw == K["function"]:
                 new = K["ASYNCFN"]
-            elif raw in (K["ARROWID"], K["ARROW("]) or raw[0] == K["T<"]:
+            elif raw in (K["ARROWID"], K["ARROW("], K["GENERIC("]):
                 new = K["ASYNCAR"]
             elif raw in _KEYS and raw not in (K["in"], K["instanceof"], K["of"] if "of" in K else "") and pv in "{,;}" + K["STATIC"] + K["MOD"] + ")" or raw in "*[" and (pv in ("{", ",", ";", "}", K["STATIC"], K["MOD"])):
                 new = K["ASYNCM"]
@@ -478,7 +478,7 @@ def _soft(k: list[str], match: list[int], ts: bool) -> None:
         elif c == S["abstract"] and raw == K["class"]:
             new = K["ABSTRACT"]
         elif c in mods:
-            if raw in _KEYS and raw not in (K["in"], K["instanceof"]) or raw in "[{*" and (pv in "{;,}(:|" or k[i - 1] == NL) or c == S["readonly"] and raw in "[(":
+            if raw in _KEYS and raw not in (K["in"], K["instanceof"]) or raw in "[{*" and (pv in "{;,}(:|" or k[i - 1] == NL) or c == S["readonly"] and raw in "[(" or raw in (K["INDEX"], K["MAPPED"]):
                 new = K["MOD"]
         elif c in pfx:
             if raw in _TYPE_START:
