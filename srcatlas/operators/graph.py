@@ -18,15 +18,89 @@ from pyspark.sql import functions as F
 from ..runtime import Scratch
 
 MOST_EDGES = 5_000_000  # of an adjacency that is sent to every task
+TASK_EDGES = 1_000_000  # so few edges, counted, are finished in one task; more take the distributed rounds
 
 
-def weak_components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _in_one_task(edges: DataFrame, kernel, schema: str) -> DataFrame:
+    """kernel(list of a, list of b) -> rows, over edges whose number was checked."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(kernel(p["a"].tolist(), p["b"].tolist()), columns=[c.split()[0] for c in schema.split(", ")])
+
+    return edges.withColumn("_all", F.lit("all")).groupBy("_all").applyInPandas(run, schema)
+
+
+def _union(a: list, b: list) -> list[tuple]:
+    parent: dict = {}
+
+    def find(v):
+        parent.setdefault(v, v)
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for x, y in zip(a, b):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return [(v, r) for v in parent if (r := find(v)) != v]
+
+
+def _on_cycles(a: list, b: list) -> list[tuple]:
+    """(node, smallest node of its strong component) of components of two or more; an explicit stack, no recursion."""
+    out: dict = {}
+    for x, y in zip(a, b):
+        out.setdefault(x, []).append(y)
+        out.setdefault(y, [])
+    index, low, on, stack, rows = {}, {}, set(), [], []
+    for root in out:
+        if root in index:
+            continue
+        work = [(root, iter(out[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(out[w])))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    part = []
+                    while True:
+                        w = stack.pop()
+                        on.discard(w)
+                        part.append(w)
+                        if w == v:
+                            break
+                    if len(part) > 1:
+                        rows += [(w, min(part)) for w in part]
+    return rows
+
+
+def weak_components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, component) with the smallest id of the component. nodes (id), edges (a, b); nulls and self-loops join nothing."""
     scratch = Scratch(spark, "weak")
     pairs = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     live, path = scratch.cut(pairs)
     label, lpath = scratch.cut(nodes.select("id", F.col("id").alias("component")).distinct())
-    while live.limit(1).count():
+    while n := live.count():
+        if n <= task_edges:
+            kind = dict(edges.dtypes)["a"]
+            up, _ = scratch.cut(_in_one_task(live, _union, f"v {kind}, p {kind}"))
+            jump = up.select(F.col("v").alias("component"), F.col("p").alias("root"))
+            return label.join(jump, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
         both = live.unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up, upath = scratch.cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).filter("p < v"))
         while True:  # pointer jumping
@@ -46,7 +120,7 @@ def weak_components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) ->
     return label
 
 
-def strong_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def strong_components(spark: SparkSession, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, scc, size) of every node on a cycle of two or more nodes, scc its smallest id. edges (a, b); nulls drop out, self-loops don't count.
 
     Nodes that can't lie on a cycle are trimmed before and after each round of colours.
@@ -55,6 +129,11 @@ def strong_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     live, path = scratch.cut(edges.filter("a <> b").select("a", "b").distinct())
     done = None
     while True:
+        if 0 < live.count() <= task_edges:
+            kind = dict(edges.dtypes)["a"]
+            part, _ = scratch.cut(_in_one_task(live, _on_cycles, f"id {kind}, scc {kind}"))
+            done = part if done is None else done.unionAll(part)
+            break
         live, path = _trim(scratch, live, path)
         if not live.limit(1).count():
             break

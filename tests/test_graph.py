@@ -41,7 +41,8 @@ def _reach(edges, n):
     return out
 
 
-def test_components_by_brute_force(spark):
+@pytest.mark.parametrize("task_edges", [0, 1000])
+def test_components_by_brute_force(spark, task_edges):
     rnd = random.Random(4)
     n, edges = 30, [(rnd.randrange(30), rnd.randrange(30)) for _ in range(34)]
     e = spark.createDataFrame([*edges, (None, 1), (3, None)], "a long, b long")
@@ -51,10 +52,10 @@ def test_components_by_brute_force(spark):
         same = {w for w in reach[v] if v in reach[w]} | {v}
         if len(same) > 1:
             want[v] = (min(same), len(same))
-    assert {r["id"]: (r["scc"], r["size"]) for r in G.strong_components(spark, e).collect()} == want
+    assert {r["id"]: (r["scc"], r["size"]) for r in G.strong_components(spark, e, task_edges).collect()} == want
     both = _reach(edges + [(b, a) for a, b in edges], n)
     nodes = spark.range(n)
-    assert {r["id"]: r["component"] for r in G.weak_components(spark, nodes, e).collect()} == {v: min(both[v] | {v}) for v in range(n)}
+    assert {r["id"]: r["component"] for r in G.weak_components(spark, nodes, e, task_edges).collect()} == {v: min(both[v] | {v}) for v in range(n)}
 
 
 def test_empty_graph(spark):
