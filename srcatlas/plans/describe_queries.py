@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from itertools import pairwise
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -148,20 +152,19 @@ def chunk_prev_context(spark, sf_dir):
     return read(spark, sf_dir, "chunks").select("id", "file_id", "part_no", "text").distinct().select("id", "part_no", F.lag(F.substring("text", 1, 80)).over(order).alias("before"))
 
 
-def chunk_spans(length: int, find, cap: int) -> list[tuple[int, int]]:
-    """Spans of at most about `cap` characters, ending behind a line feed within 100 of the cap where there is one."""
-    if length <= cap:
-        return [(0, length)]
-    out, start = [], 0
-    while start < length:
-        end = min(start + cap, length)
-        if end < length:
-            nl = find("\n", end - 100)
-            if nl != -1 and nl < end + 100:
-                end = nl + 1
-        out.append((start, end))
-        start = end
-    return out
+def chunk_spans(text: str, cap: int, slack: int = 100) -> list[tuple[int, int]]:
+    """Spans of about `cap` characters: the first line end within `slack` of the cap closes one, the cap itself where there is none. A text within the cap is one span."""
+    n = len(text)
+    if n <= cap:
+        return [(0, n)]
+    line_ends = [m.end() for m in re.finditer("\n", text)]
+    borders = [0]
+    while (goal := borders[-1] + cap) < n:
+        k = bisect_left(line_ends, goal - slack + 1)
+        borders.append(line_ends[k] if k < len(line_ends) and line_ends[k] <= goal + slack else goal)
+    if borders[-1] < n:
+        borders.append(n)
+    return list(pairwise(borders))
 
 
 @query()
@@ -172,7 +175,7 @@ def chunk_content(spark, sf_dir):
         import pandas as pd
 
         for b in batches:
-            rows = [(i, n, x[s:e]) for i, x in zip(b["id"], b["content"]) for n, (s, e) in enumerate(chunk_spans(len(x), x.find, 1000))]
+            rows = [(i, n, x[s:e]) for i, x in zip(b["id"], b["content"]) for n, (s, e) in enumerate(chunk_spans(x, 1000))]
             yield pd.DataFrame(rows, columns=["file_id", "part_no", "text"])
 
     return files(spark, sf_dir, "content").filter("content IS NOT NULL").mapInPandas(run, "file_id string, part_no int, text string")

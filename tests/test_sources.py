@@ -60,3 +60,15 @@ def test_description(spark):
     assert d["1"].startswith("JavaScript test file (a.test.js) covering 1 scenario. Depends on packages `react`. Exports `f`.")
     assert d["2"] == "unknown source file at `lib/b.js`."
     assert d["3"].startswith("Implements the navigation bar in `ui/Nav.jsx` through the `Nav` component. It coordinates local modules such as `./x`.")
+
+
+def test_chunk_spans():
+    from srcatlas.plans.describe_queries import chunk_spans
+
+    assert chunk_spans("", 10) == [(0, 0)] and chunk_spans("a" * 10, 10) == [(0, 10)]
+    assert chunk_spans("a" * 25, 10, 3) == [(0, 10), (10, 20), (20, 25)]
+    text = "aaaaaaaa\nbbbbbbbbbb\ncc"
+    assert chunk_spans(text, 10, 3) == [(0, 9), (9, 20), (20, 22)]
+    for t in (text * 40, "x\n" * 700, "y" * 3001):
+        spans = chunk_spans(t, 1000)
+        assert "".join(t[a:b] for a, b in spans) == t and all(b - a <= 1100 for a, b in spans)
