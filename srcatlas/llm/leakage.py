@@ -1,8 +1,8 @@
 """Evaluation texts leaking into training text.
 
-Rare word trigrams of the test passages are the seeds: of every window of 20 passage words the ones
-that fewest passages share, so no window is without seeds. Documents are read once; where two seeds of one
-passage meet, Smith-Waterman aligns the words around them with the passage. An inserted remark is a gap
+Two bounds that hold for any number of insertions say where to look: some stretch of the passage has enough of its
+words anywhere in the text, and enough words of the passage stand there in order (a bit-parallel longest common
+subsequence). What is left, Smith-Waterman aligns with the passage. An inserted remark is a gap
 that costs little to extend, an exchanged word a mismatch. A document holds a passage if the alignment covers at
 least 20 consecutive passage words of which at most one in eight is exchanged or missing.
 
@@ -13,7 +13,7 @@ move, so a passage that leaked into a third of them makes no hot key.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAST, ONE_IN, SEEDS_IN_WINDOW, GRAM, REMARKS = 20, 8, 8, 3, 3
+LEAST, ONE_IN = 20, 8
+# Of a run of any length within the limits, a stretch of one of these lengths is within them, too: halves of a long run can't both be beyond.
+STRETCHES = [LEAST, *(n for n in range(LEAST + 1, 2 * LEAST) if n % ONE_IN == 0)]
 BLOCK_BYTES = 16 << 20  # of item text that is sent to the tasks at once
 _WORD = re.compile(r"[^\W_]+")
+_TAG = re.compile(r"""</?[A-Za-z][\w:-]*(?:\s+[\w:@.-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))?)*\s*/?>""")
 _FIRST = re.compile(r"\s*[^\n]*?(?:[.?!:](?=\s|$)|(?=\n))")
 _MATCH, _MISS, _SKIP, _OPEN, _EXTEND = 2.0, -1.5, -1.5, -1.5, -0.08
 
@@ -50,7 +53,7 @@ def passage(text: str, opens: set[str]) -> list[str]:
 
 
 class Index:
-    """Passages with the items that share each, their words as numbers, and their seeds."""
+    """Passages with the items that share each, and their words as numbers."""
 
     def __init__(self, items: list[tuple[int, str]], opens: set[str]):
         by: dict[tuple, list[int]] = defaultdict(list)
@@ -61,85 +64,65 @@ class Index:
         self.items = list(by.values())
         self.ids: dict[str, int] = {}
         self.passages = [np.array([self.ids.setdefault(x, len(self.ids) + 1) for x in w], np.int64) for w in by]
-        self.base = len(self.ids) + 1
-        grams = [self.grams(p) for p in self.passages]
-        shared = Counter(int(g) for gs in grams for g in set(gs.tolist()))
-        where: dict[int, set[int]] = defaultdict(set)
-        span = LEAST - GRAM + 1
-        for n, gs in enumerate(grams):
-            rarity = np.array([shared[int(g)] for g in gs])
-            for a in range(max(1, len(gs) - span + 1)):
-                for k in a + np.argsort(rarity[a : a + span], kind="stable")[:SEEDS_IN_WINDOW]:
-                    where[int(gs[k])].add(n)
-            for g, r in zip(gs, rarity):
-                if r <= 2:
-                    where[int(g)].add(n)
-        self.seeds = np.array(sorted(where), np.int64)
-        self.owners = [sorted(where[int(s)]) for s in self.seeds]
-        self.all = grams
-
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        if len(ids) < GRAM:
-            return np.zeros(0, np.int64)
-        return (ids[:-2] * self.base + ids[1:-1]) * self.base + ids[2:]
+        self.has = np.zeros(len(self.ids) + 1, bool)
+        # All stretches, as places in the passages put one after another.
+        sizes = np.array([len(p) for p in self.passages], np.int64)
+        ends = np.cumsum(sizes)
+        self.joined = np.concatenate(self.passages) if self.passages else np.zeros(0, np.int64)
+        self.starts = {}
+        for n in STRETCHES:
+            each = [np.arange(e - size, e - n + 1) for e, size in zip(ends, sizes)]
+            self.starts[n] = np.concatenate(each) if each else np.zeros(0, np.int64), np.repeat(np.arange(len(each)), [len(x) for x in each])
+        # No alignment is wider: the score of its matches pays for all of its gaps.
+        self.widest = int(max(sizes, default=0) * (1 + _MATCH / -_EXTEND))
 
     def leaked(self, text: str) -> list[tuple[int, int, float]]:
         """(item, covered words, share of them that match) for every item that leaked into text."""
-        if not len(self.seeds):
+        best: dict[int, tuple[int, float]] = {}
+        bare = _TAG.sub(" ", text)
+        for t in [text] if bare == text else [text, bare]:
+            ids = np.array([self.ids.get(w, 0) for w in words(t)], np.int64)
+            for a in range(0, max(1, len(ids) - self.widest), self.widest or 1):
+                d = ids[a : a + 2 * self.widest]
+                for n in self.possible(d):
+                    got = covered(self.passages[n], d)
+                    if got and got > best.get(n, (0, 0.0)):
+                        best[n] = got
+        return [(item, *got) for n, got in best.items() for item in self.items[n]]
+
+    def possible(self, d: np.ndarray) -> list[int]:
+        """The passages that d may hold, whatever is inserted into them."""
+        here = np.unique(d[d > 0])
+        if not len(self.joined) or np.count_nonzero(d) < LEAST - LEAST // ONE_IN:
             return []
-        get = self.ids.get
-        ids = np.array([get(w, 0) for w in words(text)], np.int64)
-        if len(ids) < LEAST - LEAST // ONE_IN:
-            return []
-        known = ids > 0
-        full = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
-        if len(full) < 2:
-            return []
-        gs = self.grams(ids)[full]
-        at = np.minimum(np.searchsorted(self.seeds, gs), len(self.seeds) - 1)
-        hit = self.seeds[at] == gs
-        places: dict[int, list[int]] = defaultdict(list)
-        kinds: dict[int, set] = defaultdict(set)
-        for pos, s in zip(full[hit].tolist(), at[hit].tolist()):
-            for n in self.owners[s]:
-                places[n].append(pos)
-                kinds[n].add(s)
-        out = []
-        for n, where in places.items():
-            if len(kinds[n]) < 2:
-                continue
-            best = self._best(n, ids, where)
-            if best:
-                out += [(item, *best) for item in self.items[n]]
-        return out
-
-    def _best(self, n: int, ids: np.ndarray, where: list[int]) -> tuple[int, float] | None:
-        p = self.passages[n]
-        reach = len(p) + len(p) // 4 + 10 * REMARKS
-        best: tuple[int, float] | None = None
-        start = end = where[0]
-        spans = []
-        for pos in where[1:]:
-            if pos - end > reach or pos - start > 20 * reach:
-                spans.append((start, end))
-                start = max(pos - reach, start) if pos - end <= reach else pos
-            end = pos
-        spans.append((start, end))
-        for a, b in spans:
-            d = ids[max(0, a - reach) : b + reach]
-            # 20 words with two exchanged and three remarks among them keep six of their 18 trigrams.
-            kept = np.cumsum(np.r_[0, np.isin(self.all[n], self.grams(d))])
-            span = min(LEAST - GRAM + 1, len(kept) - 1)
-            if (kept[span:] - kept[:-span]).max() < LEAST - GRAM + 1 - GRAM * (LEAST // ONE_IN) - 2 * REMARKS:
-                continue
-            got = covered(p, d)
-            if got and (best is None or got > best):
-                best = got
-        return best
-
-
-def align(p: np.ndarray, d: np.ndarray) -> list[int]:
-    """Smith-Waterman of passage words with document words: the passage positions that match, in order."""
+        self.has[here] = True
+        n_here = np.r_[0, np.cumsum(self.has[self.joined])]
+        self.has[here] = False
+        out, row = set(), d[d > 0].tolist()
+        for n, (starts, owners) in self.starts.items():
+            least = n - n // ONE_IN
+            at = np.flatnonzero(n_here[starts + n] - n_here[starts] >= least)
+            for k, owner in zip(starts[at].tolist(), owners[at].tolist()):
+                if owner not in out and in_order(self.joined[k : k + n].tolist(), row) >= least:
+                    out.add(owner)
+        return sorted(out)
+
+
+def in_order(stretch: list[int], row: list[int]) -> int:
+    """The length of the longest common subsequence."""
+    masks: dict[int, int] = defaultdict(int)
+    for k, w in enumerate(stretch):
+        masks[w] |= 1 << k
+    full = v = (1 << len(stretch)) - 1
+    for w in row:
+        if w in masks:
+            u = v & masks[w]
+            v = ((v + u) | (v - u)) & full
+    return len(stretch) - v.bit_count()
+
+
+def align(p: np.ndarray, d: np.ndarray) -> list[tuple[int, int]]:
+    """Smith-Waterman of passage words with document words: the positions in both that match, in order."""
     n, m = len(p), len(d)
     ramp = np.arange(m + 1) * -_EXTEND
     prev = np.zeros(m + 1)
@@ -171,7 +154,7 @@ def align(p: np.ndarray, d: np.ndarray) -> list[int]:
     while i > 0 and j > 0 and moves[i, j]:
         if moves[i, j] == 1:
             if p[i - 1] == d[j - 1]:
-                out.append(i - 1)
+                out.append((i - 1, j - 1))
             i, j = i - 1, j - 1
         elif moves[i, j] == 2:
             i -= 1
@@ -182,16 +165,23 @@ def align(p: np.ndarray, d: np.ndarray) -> list[int]:
 
 def covered(p: np.ndarray, d: np.ndarray) -> tuple[int, float] | None:
     """The longest run of passage words, of which at most one in eight doesn't match, if it is long enough."""
-    hits = align(p, d)
-    if len(hits) < LEAST - LEAST // ONE_IN:
-        return None
+    while len(pairs := align(p, d)) >= LEAST - LEAST // ONE_IN:
+        if best := longest_run([i for i, _ in pairs], len(p)):
+            return best
+        # A better scored alignment that is edited too much may hide one that isn't.
+        d = d.copy()
+        d[[j for _, j in pairs]] = 0
+    return None
+
+
+def longest_run(hits: list[int], n: int) -> tuple[int, float] | None:
     best = None
     for a in range(len(hits)):
         for b in range(len(hits) - 1, a, -1):
             size = hits[b] - hits[a] + 1
             lost = size - (b - a + 1)
             # The run may take in exchanged words at its ends, up to what one in eight allows.
-            room = len(p) - size
+            room = n - size
             longest = size + max(0, min(room, size // ONE_IN - lost))
             if best is not None and longest <= best[0]:
                 break

@@ -38,3 +38,16 @@ def test_leaks(spark):
     got = sorted((r["doc_id"], r["item_id"]) for r in leaks(spark, d, i).collect())
     assert got == [(1, 1), (2, 2), (3, 3), (7, 0), (7, 100), (10, 6)]
     assert leaks(spark, d.limit(0), i).count() == 0 and leaks(spark, d, i.limit(0)).count() == 0
+
+
+def test_any_number_of_insertions(spark):
+    """Tags around single words, a remark after every two words, a long remark in the middle."""
+    ps = [passage(60) for _ in range(4)]
+    tagged = [f"<b>{w}</b>" if k % 3 == 1 else w for k, w in enumerate(ps[0][10:32])]
+    tagged[4] = tagged[14] = "exchanged"
+    noted = " ".join(w + (" (see note)" if k % 2 else "") for k, w in enumerate(ps[1][20:44]))
+    split = ps[2][5:18] + ["remark"] * 180 + ps[2][18:31]
+    less = ps[3][:17] + ["remark"] * 10
+    d = spark.createDataFrame([(1, " ".join(tagged)), (2, noted), (3, " ".join(split)), (4, " ".join(less))], "doc_id long, text string")
+    i = spark.createDataFrame([(n, f"{OPEN[n % 2]} {' '.join(p)}") for n, p in enumerate([*ps, *(passage(40) for _ in range(6))])], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in leaks(spark, d, i).collect()) == [(1, 0), (2, 1), (3, 2)]
