@@ -22,13 +22,13 @@ def _plural(items: Column, one: str, many: str) -> Column:
 
 
 def file_description(files: DataFrame) -> DataFrame:
-    """(file_id, description). files: id, name, path, language, imports, exported, functions, content. Missing arrays count as empty, a missing content as no preview."""
+    """(file_id, description). files: id, name, path, language, imports, exported, functions, content. Missing arrays count as empty, a missing content as empty. Contents are read whole."""
     f = files.select(
         F.col("id").alias("file_id"), "name", "path", "language",
         F.coalesce("imports", F.array().cast(IMPORTS)).alias("imports"),
         F.coalesce("functions", F.array().cast(FUNCTIONS)).alias("functions"),
         F.filter(F.transform(F.coalesce("exported", F.array().cast(EXPORTED)), lambda e: e["name"]), lambda n: n.isNotNull()).alias("exports"),
-        F.substring(F.coalesce("content", F.lit("")), 1, 500).alias("snippet"),
+        F.coalesce("content", F.lit("")).alias("text"),
     )
     kind = lambda k: F.transform(F.filter("functions", lambda x: F.coalesce(x["type"] == k, F.lit(False))), lambda x: F.coalesce(x["name"], F.lit("")))
     source = lambda k: F.transform(F.filter("imports", lambda x: F.coalesce(x["type"] == k, F.lit(False))), lambda x: F.coalesce(x["source"], F.lit("")))
@@ -64,10 +64,10 @@ def file_description(files: DataFrame) -> DataFrame:
         .when(n("exports") > 0, F.concat(F.lit("Exports "), _join(named, 4), F.lit(".")))
         .when(n("functions") > 0, "No symbols are exported from this module.")
     )
-    signals = S.behavior_signals(F.col("path"), F.col("name"), names, F.concat("pkgs", "locals"), F.col("snippet"))
+    signals = S.behavior_signals(F.col("path"), F.col("name"), names, F.concat("pkgs", "locals"), F.col("text"))
     fourth = F.when(n(signals) > 0, F.concat(F.lit("From the available code, it "), F.array_join(signals, ", "), F.lit(".")))
-    shows = F.col("snippet").rlike(r"(?i)return\s*\(|<>|<div|<section|<main|<nav|<footer")
+    shows = F.col("text").rlike(r"(?i)return\s*\(|<>|<div|<section|<main|<nav|<footer")
     fifth = F.when(is_react, F.when(shows, "Its main responsibility is rendering and coordinating the visible UI for this area of the application.")).when(
-        F.lower("snippet").rlike("process|transform|validate|parse|map|build"), "Its main responsibility appears to be coordinating implementation logic rather than only declaring types or constants."
+        F.lower("text").rlike("process|transform|validate|parse|map|build"), "Its main responsibility appears to be coordinating implementation logic rather than only declaring types or constants."
     )
     return f.select("file_id", F.concat_ws(" ", first, second, third, fourth, fifth).alias("description"))

@@ -72,3 +72,9 @@ def test_chunk_spans():
     for t in (text * 40, "x\n" * 700, "y" * 3001):
         spans = chunk_spans(t, 1000)
         assert "".join(t[a:b] for a, b in spans) == t and all(b - a <= 1100 for a, b in spans)
+
+
+def test_description_reads_whole_contents(spark):
+    row = ("1", "a.js", "lib/a.js", "javascript", [], [], [], "// header\n" * 80 + "useState(0)")
+    f = spark.createDataFrame([row], f"id string, name string, path string, language string, imports {IMPORTS}, exported {EXPORTED}, functions {FUNCTIONS}, content string")
+    assert "manages local component state" in file_description(f).first()["description"]
