@@ -8,6 +8,7 @@ changes no result. The first token that has no entry is the file's first unrecov
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -21,7 +22,8 @@ from .ll1 import Grammar
 
 SEMI, RETARG, LABEL, YIELDARG, TSEP, STATEMENTS, ITEMS = range(7)
 _SPECIALS = {"SEMI": SEMI, "RETARG": RETARG, "LABEL": LABEL, "YIELDARG": YIELDARG, "TSEP": TSEP, "STATEMENTS": STATEMENTS, "ITEMS": ITEMS}
-_KEEP = 200_000
+_DEEP = 1_000_000
+_KEEP, _LINE = 200_000, 120  # streams kept, and tokens of the longest line that is: parsing stays linear in the length of a line
 #: Extension -> dialect: (JSON?, TypeScript?, JSX?). Fixed values.
 DIALECTS = {".js": (0, 0, 0), ".mjs": (0, 0, 0), ".cjs": (0, 0, 0), ".jsx": (0, 0, 1), ".ts": (0, 1, 0), ".tsx": (0, 1, 1), ".json": (1, 0, 0)}
 
@@ -76,7 +78,7 @@ def parse(kinds: str, g: Grammar, good: dict) -> int:
             if top == STATEMENTS or top == ITEMS:
                 if k in _STOP_LIST and (top == STATEMENTS or k == "}" or k == EOF):
                     continue
-                end = kinds.find(NL, pos)
+                end = kinds.find(NL, pos, pos + _LINE)
                 key = kinds[pos : end + 2] if end > 0 else ""
                 stack.append(top)
                 if key and top == STATEMENTS and key in good:
@@ -138,6 +140,8 @@ def parse(kinds: str, g: Grammar, good: dict) -> int:
 
 def first_error(path: str, content: str) -> tuple[int, int, str] | None:
     """(line, column, message) of the first error of a file by the extension of its path, or None."""
+    if sys.getrecursionlimit() < _DEEP:
+        sys.setrecursionlimit(_DEEP)  # templates and JSX containers nest as deeply as a text says; these calls take no C stack
     is_json, ts, jsx = DIALECTS[path[path.rfind(".") :]]
     g, good = grammar(bool(is_json), bool(ts), bool(jsx))
     try:

@@ -56,3 +56,22 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "id string, repo_id string, path string, language string, content string").selectExpr("*", "1 AS valid")
     assert {r["file_id"]: r["valid"] for r in judged(df).collect()} == {"1": False, "2": True, "3": False, "7": True, "8": False}
     assert judged(df).count() == 5 and judged(df.limit(0)).count() == 0
+
+
+def test_one_line_bundles_take_time_in_proportion():
+    import time
+
+    unit = 'function f(a,b){var c=a?b:[1,2,"x"];for(var i=0;i<c.length;i++){c[i]=g(c[i],{k:a})}return c}var q=f(1,2);q&&f(q=>q+1);'
+    took = []
+    for n in (500_000, 4_000_000):
+        began = time.process_time()
+        assert first_error("a.js", unit * (n // len(unit))) is None
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * took[0] + 1
+    assert first_error("a.js", unit * 1000 + "var ;") is not None
+
+
+def test_deep_nesting_does_not_crash():
+    n = 3000
+    assert first_error("a.js", "a = " + "`${" * n + "1" + "}`" * n) is None
+    assert first_error("a.jsx", "a = " + "<b>{" * n + "1" + "}</b>" * n) is None
