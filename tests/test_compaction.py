@@ -3,6 +3,8 @@
 import datetime
 import json
 
+import pyarrow.parquet as pq
+
 from srcatlas.operators.compaction import body_records, consolidate
 
 SCHEMA = "store_path string, body string, written_at timestamp_ntz, n_bytes long, record string"
@@ -34,9 +36,40 @@ def test_round_trip(spark):
     assert sorted((r["file_id"], r["hash"]) for r in got) == sorted({(f"f{i}", "ab") for i in range(40)} | {("f7", "zz")})
     newest = {r["file_id"]: json.loads(r["record"]).get("n") for r in got if r["hash"] == "ab"}
     assert newest == {f"f{i}": max(x for x in range(300) if x % 40 == i) for i in range(40)}
-    m = sorted(manifest.collect(), key=lambda r: r["first_key"])
-    assert sum(r["n_records"] for r in m) == 41 and all(r["n_bytes"] <= 1500 for r in m)
-    assert all(a["last_key"] < b["first_key"] for a, b in zip(m, m[1:]))
+    check(manifest, 41, got)
+
+
+def check(manifest, n, got):
+    m = sorted(manifest.collect(), key=lambda r: (r["first_id"], r["first_hash"]))
+    assert [r["range_no"] for r in m] == list(range(len(m))) and sum(r["n_records"] for r in m) == n == len(got)
+    assert sum(r["n_bytes"] for r in m) == sum(len(r["record"].encode()) for r in got)
+    assert all((a["last_id"], a["last_hash"]) < (b["first_id"], b["first_hash"]) for a, b in zip(m, m[1:]))
+    for r in m:
+        keys = [(x["file_id"], x["hash"]) for x in pq.read_table(r["path"].removeprefix("file://")).to_pylist()]
+        assert keys == sorted(keys) and keys[0] == (r["first_id"], r["first_hash"]) and keys[-1] == (r["last_id"], r["last_hash"]) and len(keys) == r["n_records"]
+    return m
+
+
+def test_rounds_and_deliveries(spark):
+    """More runs than a task merges; a second delivery rewrites only the ranges it touches; an empty one nothing."""
+    first = [(f"p{i}", json.dumps(rec(f"{i % 500:04d}", f"{i % 3}", n=i)), T, 1, "") for i in range(3000)]
+    df = spark.createDataFrame(first, SCHEMA).repartition(30)
+    records, manifest = consolidate(spark, df, target_bytes=6000, fan_in=3)
+    m = check(manifest, 1500, records.collect())
+    assert len(m) > 3 and all(r["file_bytes"] < 20_000 for r in m)
+    late = [("q1", json.dumps(rec("0003", "0", n=-1)), T + datetime.timedelta(1), 1, ""), ("q2", json.dumps(rec("0003x", "9")), None, 1, ""), ("q3", json.dumps(rec("0004", "1", n=-2)), T - datetime.timedelta(1), 1, "")]
+    records, again = consolidate(spark, spark.createDataFrame(late, SCHEMA), target_bytes=6000, existing=manifest)
+    got = records.collect()
+    m2 = check(again, 1501, got)
+    kept = {r["path"] for r in m} & {r["path"] for r in m2}
+    assert len(kept) == len(m) - 1
+    told = {(r["file_id"], r["hash"]): json.loads(r["record"]).get("n") for r in got}
+    assert told["f0003", "0"] == -1 and told["f0003x", "9"] is None and told["f0004", "1"] != -2
+    _, same = consolidate(spark, spark.createDataFrame([], SCHEMA), existing=again)
+    assert {r["path"] for r in same.collect()} == {r["path"] for r in m2}
+    many = [(f"r{i}", json.dumps(rec(f"{i:04d}", "new")), T, 1, "") for i in range(0, 700, 7)]
+    records, third = consolidate(spark, spark.createDataFrame(many, SCHEMA).repartition(20), target_bytes=6000, existing=again, fan_in=3)
+    check(third, 1601, records.collect())
 
 
 def test_empty(spark):
