@@ -2,21 +2,25 @@
 
 # Categories by extension.
 EXT_CATEGORY = {
-    "code": "js jsx ts tsx mjs cjs vue svelte",
-    "config": "json yaml yml toml ini conf config lock",
-    "style": "css scss sass less styl stylus pcss",
-    "docs": "md markdown html htm txt rst adoc",
-    "media": "png jpg jpeg gif svg webp ico avif bmp tiff tif raw heic heif mp4 mov webm avi mkv flv wmv mp3 wav aac ogg flac m4a wma aiff",
-    "archive": "zip tar gz bz2 xz 7z rar tgz",
-    "font": "ttf otf woff woff2 eot",
-    "binary": "pdf doc docx xls xlsx ppt pptx exe dll so dylib wasm",
-    "database": "sql db sqlite",
-}
+    ".js": "code", ".jsx": "code", ".ts": "code", ".tsx": "code", ".mjs": "code", ".cjs": "code", ".vue": "code", ".svelte": "code",
+    ".json": "config", ".yaml": "config", ".yml": "config", ".toml": "config", ".ini": "config", ".conf": "config", ".config": "config",
+    ".lock": "config", ".css": "style", ".scss": "style", ".sass": "style", ".less": "style", ".styl": "style", ".stylus": "style", ".pcss": "style",
+    ".md": "docs", ".markdown": "docs", ".html": "docs", ".htm": "docs", ".txt": "docs", ".rst": "docs", ".adoc": "docs",
+    ".png": "media", ".jpg": "media", ".jpeg": "media", ".gif": "media", ".svg": "media", ".webp": "media", ".ico": "media", ".avif": "media",
+    ".bmp": "media", ".tiff": "media", ".tif": "media", ".raw": "media", ".heic": "media", ".heif": "media", ".mp4": "media", ".mov": "media",
+    ".webm": "media", ".avi": "media", ".mkv": "media", ".flv": "media", ".wmv": "media", ".mp3": "media", ".wav": "media", ".aac": "media",
+    ".ogg": "media", ".flac": "media", ".m4a": "media", ".wma": "media", ".aiff": "media", ".zip": "archive", ".tar": "archive", ".gz": "archive",
+    ".bz2": "archive", ".xz": "archive", ".7z": "archive", ".rar": "archive", ".tgz": "archive", ".ttf": "font", ".otf": "font", ".woff": "font",
+    ".woff2": "font", ".eot": "font", ".pdf": "binary", ".doc": "binary", ".docx": "binary", ".xls": "binary", ".xlsx": "binary", ".ppt": "binary",
+    ".pptx": "binary", ".exe": "binary", ".dll": "binary", ".so": "binary", ".dylib": "binary", ".wasm": "binary",
+    ".sql": "database", ".db": "database", ".sqlite": "database",
+}
 # Languages by extension.
 EXT_LANGUAGE = {
-    "javascript": "js mjs cjs", "javascriptreact": "jsx", "typescript": "ts", "typescriptreact": "tsx", "vue": "vue", "svelte": "svelte",
-    "json": "json", "yaml": "yaml yml", "toml": "toml", "ini": "ini", "css": "css", "scss": "scss", "sass": "sass", "less": "less",
-    "markdown": "md markdown", "html": "html htm", "text": "txt", "restructuredtext": "rst", "sql": "sql", "svg": "svg",
+    ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "javascriptreact", ".ts": "typescript",
+    ".tsx": "typescriptreact", ".vue": "vue", ".svelte": "svelte", ".json": "json", ".yaml": "yaml", ".yml": "yaml",
+    ".toml": "toml", ".ini": "ini", ".css": "css", ".scss": "scss", ".sass": "sass", ".less": "less", ".md": "markdown", ".markdown": "markdown",
+    ".html": "html", ".htm": "html", ".txt": "text", ".rst": "restructuredtext", ".sql": "sql", ".svg": "svg",
 }
 # Names with a category of their own.
 SPECIAL = {
@@ -34,26 +38,28 @@ STOP_WORDS = """a an and are as at be but by do does for from has have how i if
 which who why will with work works about this""".split()  # fixed values: stop words
 # Verb phrases by the first word of a name.
 VERBS = {
-    "Returns": "get", "Fetches": "fetch", "Loads": "load", "Reads": "read", "Sets": "set", "Saves": "save", "Stores": "store", "Writes": "write",
-    "Creates": "create make", "Builds": "build", "Generates": "generate", "Updates": "update", "Modifies": "modify", "Patches": "patch",
-    "Deletes": "delete", "Removes": "remove", "Destroys": "destroy", "Parses": "parse", "Formats": "format", "Serializes": "serialize stringify",
-    "Validates": "validate", "Checks": "check", "Verifies": "verify", "Returns whether": "is has should", "Renders": "render draw",
-    "Handles": "handle on", "React hook for": "use", "Initializes": "init", "Sets up": "setup", "Configures": "configure", "Computes": "compute",
-    "Calculates": "calculate", "Counts": "count", "Filters": "filter", "Maps": "map", "Reduces": "reduce", "Sorts": "sort", "Finds": "find",
-    "Searches": "search", "Matches": "match", "Sends": "send", "Emits": "emit", "Dispatches": "dispatch", "Starts": "start", "Stops": "stop",
-    "Opens": "open", "Closes": "close", "Connects": "connect", "Disconnects": "disconnect", "Resolves": "resolve", "Rejects": "reject",
-    "Authenticates": "authenticate", "Converts to": "to", "Builds from": "from", "Wraps with": "with", "Ensures": "ensure", "Applies": "apply",
-    "Runs": "run", "Executes": "execute", "Processes": "process", "Transforms": "transform", "Normalizes": "normalize", "Sanitizes": "sanitize",
-    "Hashes": "hash", "Encrypts": "encrypt", "Decrypts": "decrypt",
+    "get": "Returns", "fetch": "Fetches", "load": "Loads", "read": "Reads", "set": "Sets", "save": "Saves", "store": "Stores",
+    "write": "Writes", "create": "Creates", "make": "Creates", "build": "Builds", "generate": "Generates", "update": "Updates",
+    "modify": "Modifies", "patch": "Patches", "delete": "Deletes", "remove": "Removes", "destroy": "Destroys", "parse": "Parses",
+    "format": "Formats", "serialize": "Serializes", "stringify": "Serializes", "validate": "Validates", "check": "Checks",
+    "verify": "Verifies", "is": "Returns whether", "has": "Returns whether", "should": "Returns whether", "render": "Renders", "draw": "Renders",
+    "handle": "Handles", "on": "Handles", "use": "React hook for", "init": "Initializes", "setup": "Sets up", "configure": "Configures",
+    "compute": "Computes", "calculate": "Calculates", "count": "Counts", "filter": "Filters", "map": "Maps", "reduce": "Reduces",
+    "sort": "Sorts", "find": "Finds", "search": "Searches", "match": "Matches", "send": "Sends", "emit": "Emits",
+    "dispatch": "Dispatches", "start": "Starts", "stop": "Stops", "open": "Opens", "close": "Closes", "connect": "Connects",
+    "disconnect": "Disconnects", "resolve": "Resolves", "reject": "Rejects", "authenticate": "Authenticates", "to": "Converts to",
+    "from": "Builds from", "with": "Wraps with", "ensure": "Ensures", "apply": "Applies", "run": "Runs", "execute": "Executes",
+    "process": "Processes", "transform": "Transforms", "normalize": "Normalizes", "sanitize": "Sanitizes", "hash": "Hashes",
+    "encrypt": "Encrypts", "decrypt": "Decrypts",
 }
-# Behaviour tags; w = whole words, c = calls.
-TAG_WORDS = {
-    "api-client": (["axios", "got", "node-fetch", "undici", "ApolloClient"], ["fetch", "useQuery", "useMutation", "useSWR", "graphql"]),
-    "browser-storage": (["localStorage", "sessionStorage", r"document\.cookie", r"cookies\.set", "IndexedDB"], []),
-    "side-effect-hook": ([], ["useEffect", "useLayoutEffect", "useInsertionEffect"]),
-    "db-client": (["mongoose", "prisma", "pg", "mysql2", "sequelize", "drizzle-orm", "kysely", "supabase", "firebase"], []),
-    "auth": (["next-auth", "passport", "jsonwebtoken", "jwt", "bcrypt", "argon2", "crypto", "session"], []),
-    "routing": (["react-router", "vue-router", "useRouter", "useSearchParams", "useParams"], ["usePathname"]),
+# Behaviour tags by patterns of the content; \b is an edge of ASCII words.
+TAG_PATTERNS = {
+    "api-client": [r"\bfetch\s*\(", r"\baxios\b", r"\bgot\b", r"\bnode-fetch\b", r"\bundici\b", r"\buseQuery\s*\(", r"\buseMutation\s*\(", r"\buseSWR\s*\(", r"\bApolloClient\b", r"\bgraphql\s*\("],
+    "browser-storage": [r"\blocalStorage\b", r"\bsessionStorage\b", r"\bdocument\.cookie\b", r"\bcookies\.set\b", r"\bIndexedDB\b"],
+    "side-effect-hook": [r"\buseEffect\s*\(", r"\buseLayoutEffect\s*\(", r"\buseInsertionEffect\s*\("],
+    "db-client": [r"\bmongoose\b", r"\bprisma\b", r"\b@prisma/client\b", r"\bpg\b", r"\bmysql2\b", r"\bsequelize\b", r"\bdrizzle-orm\b", r"\bkysely\b", r"\bsupabase\b", r"\bfirebase\b"],
+    "auth": [r"\bnext-auth\b", r"\b@auth/", r"\bpassport\b", r"\bjsonwebtoken\b", r"\bjwt\b", r"\bbcrypt\b", r"\bargon2\b", r"\bcrypto\b", r"\bsession\b"],
+    "routing": [r"\breact-router\b", r"\bvue-router\b", r"\b@tanstack/react-router\b", r"\buseRouter\b", r"\buseSearchParams\b", r"\buseParams\b", r"\bLink\s+from\s+['\"]next/link['\"]", r"\busePathname\s*\("],
 }
 # Behaviour tags by imported package.
 IMPORT_TAGS = {
@@ -91,8 +97,3 @@ LANG_DISPLAY = {
 }
 # Node colours of the viewer.
 COLORS = {"code": "#be5985", "package": "#2ca02c", "config": "#9467bd", "docs": "#d97706", "media": "#d97706", "style": "#9467bd", "database": "#9467bd", "other": "#be5985", "isolated": "#a89098"}
-
-
-def by_key(table: dict[str, str], dot: bool = False) -> dict[str, str]:
-    """Key -> value of a table kept as value -> keys."""
-    return {("." if dot else "") + k: v for v, ks in table.items() for k in ks.split()}

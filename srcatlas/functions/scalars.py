@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from itertools import chain
 
@@ -31,11 +32,11 @@ def extension(name: Column) -> Column:
 
 def category(name: Column) -> Column:
     special = {n: c for c, ns in rules.SPECIAL.items() for n in ns}
-    return F.coalesce(lookup(name, special), F.when(name.startswith(".env."), "config"), lookup(extension(name), rules.by_key(rules.EXT_CATEGORY, True)), F.lit("other"))
+    return F.coalesce(lookup(name, special), F.when(name.startswith(".env."), "config"), lookup(extension(name), rules.EXT_CATEGORY), F.lit("other"))
 
 
 def language(name: Column) -> Column:
-    return F.coalesce(F.when((name == ".env") | name.startswith(".env."), "dotenv"), lookup(extension(name), rules.by_key(rules.EXT_LANGUAGE, True)), F.lit("unknown"))
+    return F.coalesce(F.when((name == ".env") | name.startswith(".env."), "dotenv"), lookup(extension(name), rules.EXT_LANGUAGE), F.lit("unknown"))
 
 
 def lang_display(c: Column) -> Column:
@@ -82,7 +83,7 @@ def capitalize(s: Column) -> Column:
 
 def verb_phrase(name: Column) -> Column:
     words = F.filter(F.split(split_words(name), " "), lambda w: w != "")
-    verb = lookup(F.lower(F.get(words, F.lit(0))), rules.by_key(rules.VERBS))
+    verb = lookup(F.lower(F.get(words, F.lit(0))), rules.VERBS)
     tail = F.lower(F.array_join(F.slice(words, 2, 1 << 30), " "))
     return F.when(verb.isNotNull() & (tail != ""), F.concat_ws(" ", verb, tail)).when(verb.isNotNull(), F.lower(verb))
 
@@ -124,26 +125,29 @@ def search_score(q: str, tokens: list[str], name: Column, second: Column, desc:
     return score
 
 
-_EDGE = "(?<![A-Za-z0-9_]){}(?![A-Za-z0-9_])"
+def tag_pattern(tag: str) -> str:
+    """The tag's patterns as one alternation. Their edges are those of ASCII words; Java's \\b would look at all letters."""
+    word, out = "[A-Za-z0-9_]", []
+    for p in rules.TAG_PATTERNS[tag]:
+        start = f"(?<={word})" if p.startswith(r"\b@") else f"(?<!{word})"
+        out.append(start + p.removeprefix(r"\b").replace(r"\b", f"(?!{word})"))
+    return "|".join(out)
 
 
-def tag_pattern(tag: str, java: bool = True) -> str:
-    """One alternation per tag; word edges are ASCII."""
-    words, calls = rules.TAG_WORDS[tag]
-    if java:
-        parts = [_EDGE.format(w) for w in words] + [rf"(?<![A-Za-z0-9_]){c}\s*\(" for c in calls]
-    else:
-        parts = [rf"\b{w}\b" for w in words] + [rf"\b{c}\s*\(" for c in calls]
-    return "|".join(parts)
+def tag_matches(content: Column, tag: str) -> Column:
+    """Whether a pattern of the tag matches; texts without any of the patterns' plain parts skip the regular expression."""
+    plain = [max(re.split(r"\\b|\\s[*+]|\\[(.]|\[.*?\]", p), key=len) for p in rules.TAG_PATTERNS[tag]]
+    return F.when(reduce(lambda a, b: a | b, [F.contains(content, F.lit(x)) for x in plain]), content.rlike(tag_pattern(tag))).otherwise(False)
 
 
 def behavior_tags(content: Column, sources: Column) -> Column:
-    by_text = [F.when(content.rlike(tag_pattern(t)), F.lit(t)) for t in rules.TAG_WORDS]
+    by_text = [F.when(tag_matches(content, t), F.lit(t)) for t in rules.TAG_PATTERNS]
     by_import = [F.when(F.arrays_overlap(sources, F.array(*map(F.lit, p))), F.lit(t)) for t, p in rules.IMPORT_TAGS.items()]
     return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.sort_array(F.array_distinct(F.array_compact(F.array(*by_text, *by_import)))))
 
 
-ENV_PATTERNS = [r"process\.env\.([A-Z][A-Z0-9_]*)", r"import\.meta\.env\.([A-Z][A-Z0-9_]*)", "Deno\\.env\\.get\\(['\"`]([A-Z][A-Z0-9_]+)['\"`]\\)", r"Bun\.env\.([A-Z][A-Z0-9_]*)", r"const\s*\{\s*([A-Z][A-Z0-9_,\s]+)\s*\}\s*=\s*(?:process|import\.meta)\.env"]  # fixed values
+# Patterns of environment variables.
+ENV_PATTERNS = [r"process\.env\.([A-Z][A-Z0-9_]*)", r"import\.meta\.env\.([A-Z][A-Z0-9_]*)", "Deno\\.env\\.get\\(['\"`]([A-Z][A-Z0-9_]+)['\"`]\\)", r"Bun\.env\.([A-Z][A-Z0-9_]*)", r"const\s*\{\s*([A-Z][A-Z0-9_,\s]+)\s*\}\s*=\s*(?:process|import\.meta)\.env"]
 
 
 def env_vars(content: Column) -> Column:
@@ -193,10 +197,35 @@ def nextjs_route(path: Column) -> Column:
     )
 
 
+# White space of any script; Java's own class has that of ASCII only.
+WS = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+
+
 def clean_response(raw: Column) -> Column:
     bare = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?is)<think>.*?</think>", "")
-    bare = F.regexp_replace(bare, r"(?i)^\s*(?:answer|description|summary)\s*:\s*", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"^\s+|\s+$", ""), r"\s+", " ")
+    bare = F.regexp_replace(bare, rf"(?i)\A{WS}*(?:answer|description|summary){WS}*:{WS}*", "")
+    return F.regexp_replace(strip(bare), WS + "+", " ")
+
+
+def parse_response(reply: Column) -> Column:
+    """struct(description, tags) of a model's reply: of the JSON object in it, if that has a description and a list of tags (ten count); else of the text and its `tags: [...]`."""
+    j = F.from_json(F.regexp_extract(reply, r"\{[\s\S]*\}", 0), "description string, tags array<string>")
+    found = (F.coalesce(j["description"], F.lit("")) != "") & j["tags"].isNotNull()
+    pattern = rf"(?i)tags?:{WS}*\[([^\]]+)\]"
+    listed = F.transform(F.split(F.regexp_extract(reply, pattern, 1), ","), lambda t: F.lower(F.regexp_replace(strip(t), "['\"]", "")))
+    rest = F.regexp_replace(reply, rf"(?is)\A(.*?)tags?:{WS}*\[[^\]]+\]", "$1")  # the first of them only
+    made = F.struct(strip(F.when(found, j["description"]).otherwise(rest)).alias("description"), F.when(found, F.transform(F.slice(j["tags"], 1, 10), F.lower)).otherwise(F.filter(listed, lambda t: t != "")).alias("tags"))
+    return F.when(strip(F.coalesce(reply, F.lit(""))) == "", F.struct(F.lit("").alias("description"), F.array().cast("array<string>").alias("tags"))).otherwise(made)
+
+
+def chunks(text: Column, cap: int, slack: int = 100) -> Column:
+    """The text in parts: what is left if it is within the cap; else up to the first line end within `slack` of the cap; else exactly the cap. An empty text is one part."""
+    pattern = rf"(?s).{{1,{cap}}}\z|.{{{cap - slack},{cap + slack - 1}}}?\n|.{{{cap}}}"
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
 def retry_ms(text: Column) -> Column:
@@ -209,3 +238,15 @@ def truncate_head_tail(text: Column, most: int) -> Column:
     head, tail = int(most * 0.7), int(most * 0.25)
     cut = F.concat(F.substring(text, 1, head), F.lit("\n... [truncated "), (F.length(text) - (head + tail)).cast("string"), F.lit(" chars] ...\n"), F.right(text, F.lit(tail)))
     return F.when(F.length(text) <= most, text).otherwise(cut)
+
+
+def format_bytes(n: Column) -> Column:
+    """Fixed format: B, KB with one digit, MB with two, a dash for null."""
+    return F.when(n.isNull(), "—").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.2f", n / (1 << 20)), F.lit(" MB")))
+
+
+def progress_bar(done: Column, total: Column, width: int = 40) -> Column:
+    """Fixed format: `50% ▕████░░░░▏ (1/2)`; null where the total is 0."""
+    filled = F.floor(done * width / total + 0.5).cast("int")
+    parts = [F.floor(done / total * 100 + 0.5).cast("string"), F.lit("% ▕"), F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), width - filled), F.lit("▏ ("), done.cast("string"), F.lit("/"), total.cast("string"), F.lit(")")]
+    return F.when(total > 0, F.concat(*parts))

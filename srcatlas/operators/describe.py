@@ -21,13 +21,14 @@ def _plural(items: Column, one: str, many: str) -> Column:
     return F.when(n > 0, F.concat(n.cast("string"), F.lit(" "), F.when(n > 1, many).otherwise(one)))
 
 
-def file_description(files: DataFrame) -> DataFrame:
-    """(file_id, description). files: id, name, path, language, imports, exported, functions, content. Missing arrays count as empty, a missing content as empty. Contents are read whole."""
+# The sentences below are what the map shows.
+def file_description(files: DataFrame, *keep: str) -> DataFrame:
+    """(file_id, keep, description). files: id, name, path, language, imports, exported, functions, content. Missing arrays count as empty, a missing content as empty. Contents are read whole."""
     f = files.select(
-        F.col("id").alias("file_id"), "name", "path", "language",
+        F.col("id").alias("file_id"), *keep, "name", "path", "language",
         F.coalesce("imports", F.array().cast(IMPORTS)).alias("imports"),
         F.coalesce("functions", F.array().cast(FUNCTIONS)).alias("functions"),
-        F.filter(F.transform(F.coalesce("exported", F.array().cast(EXPORTED)), lambda e: e["name"]), lambda n: n.isNotNull()).alias("exports"),
+        F.filter(F.coalesce(F.transform("exported", lambda e: e["name"]), F.array().cast("array<string>")), lambda n: n.isNotNull()).alias("exports"),
         F.coalesce("content", F.lit("")).alias("text"),
     )
     kind = lambda k: F.transform(F.filter("functions", lambda x: F.coalesce(x["type"] == k, F.lit(False))), lambda x: F.coalesce(x["name"], F.lit("")))
@@ -70,4 +71,4 @@ def file_description(files: DataFrame) -> DataFrame:
     fifth = F.when(is_react, F.when(shows, "Its main responsibility is rendering and coordinating the visible UI for this area of the application.")).when(
         F.lower("text").rlike("process|transform|validate|parse|map|build"), "Its main responsibility appears to be coordinating implementation logic rather than only declaring types or constants."
     )
-    return f.select("file_id", F.concat_ws(" ", first, second, third, fourth, fifth).alias("description"))
+    return f.select("file_id", *keep, F.concat_ws(" ", first, second, third, fourth, fifth).alias("description"))

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
-from itertools import pairwise
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import scalars as S
-from ..operators.describe import file_description
 from ..operators import links as L
-from .base import files, read, sql
+from ..operators import statements
+from ..operators.compaction import body_records
+from ..operators.describe import file_description
+from .base import files, latest, ranked, read, sql, versions
 from .graph_queries import IMP, RES, TGT
 
 QUERIES: dict = {}
@@ -30,17 +28,23 @@ def query(oracle: str | None = None):
     return add
 
 
-# The description cache: whole single records of the map store with a description, by repository, path and hash.
-CACHE = """cache AS (SELECT DISTINCT split_part(store_path, '/', 1) AS repo_id, j->>'$.path' AS path, lower(j->>'$.hash') AS hash, j->>'$.description' AS description
-  FROM (SELECT store_path, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM record_files) WHERE json_type(j) = 'OBJECT' AND j->>'$.hash' IS NOT NULL AND j->>'$.path' IS NOT NULL AND coalesce(j->>'$.description', '') <> '')"""
+# The description cache: the complete records of the map store with a description, by repository, path and hash.
+CACHE = """cb AS (SELECT store_path, body AS x FROM record_files WHERE json_valid(body) UNION ALL SELECT store_path, unnest(string_split(body, chr(10))) FROM record_files WHERE body IS NOT NULL AND NOT json_valid(body)),
+ce AS (SELECT store_path, unnest(CASE json_type(j) WHEN 'ARRAY' THEN json_extract(j, '$[*]') ELSE [coalesce(json_extract(j, '$.file'), j)] END) AS j FROM (SELECT store_path, x::JSON AS j FROM cb WHERE json_valid(x))),
+cache AS (SELECT DISTINCT split_part(store_path, '/', 1) AS repo_id, j->>'$.path' AS path, lower(j->>'$.hash') AS hash, j->>'$.description' AS description
+  FROM ce WHERE j->>'$.id' IS NOT NULL AND j->>'$.hash' IS NOT NULL AND j->>'$.path' IS NOT NULL AND coalesce(j->>'$.description', '') <> '')"""
+
+
+def _described(batches):
+    import pandas as pd
+
+    for b in batches:
+        rows = [(p.split("/")[0], r["path"], r["hash"].lower(), r["description"]) for p, body in zip(b["store_path"], b["body"]) for r in body_records(body) if isinstance(r.get("path"), str) and isinstance(r.get("description"), str) and r["description"]]
+        yield pd.DataFrame(rows, columns=["repo_id", "path", "hash", "description"])
 
 
 def cache(spark, sf_dir):
-    schema = "path string, hash string, description string, _bad string"
-    j = F.from_json("body", schema, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
-    rows = read(spark, sf_dir, "record_files").filter(F.col("body").rlike(r"^\s*\{") & ~F.col("body").rlike(r"\}\s*\n\s*\{")).select("store_path", j.alias("j"))
-    rows = rows.filter("j._bad IS NULL AND j.hash IS NOT NULL AND j.path IS NOT NULL AND coalesce(j.description, '') <> ''")
-    return rows.select(F.split_part("store_path", F.lit("/"), F.lit(1)).alias("repo_id"), "j.path", F.lower("j.hash").alias("hash"), "j.description").distinct()
+    return read(spark, sf_dir, "record_files").filter("body IS NOT NULL").select("store_path", "body").mapInPandas(_described, "repo_id string, path string, hash string, description string").distinct()
 
 
 def _wanted(spark, sf_dir):
@@ -106,8 +110,9 @@ _SPH = "greatest(0, 1 - y * y)"
 @query(sql("SELECT file_id, floor(cos(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) * 100 * 10000 + 0.5) / 10000 AS x, floor(y * 100 * 10000 + 0.5) / 10000 AS y, floor(sin(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) * 100 * 10000 + 0.5) / 10000 AS z FROM (SELECT file_id, i, CASE WHEN n > 1 THEN 1 - (i / (n - 1)) * 2 ELSE 0 END AS y FROM (SELECT id AS file_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY id) - 1 AS DOUBLE) AS i, CAST(count(*) OVER (PARTITION BY repo_id) AS DOUBLE) AS n FROM f WHERE repo_id IS NOT NULL)) WHERE y IS NOT NULL"))
 def sphere_layout(spark, sf_dir):
     """Deterministic places on a sphere, per repository."""
-    rank = Window.partitionBy("repo_id").orderBy("id")
-    p = files(spark, sf_dir, "repo_id").filter("repo_id IS NOT NULL").withColumn("i", (F.row_number().over(rank) - 1).cast("double")).withColumn("n", F.count("*").over(Window.partitionBy("repo_id")).cast("double"))
+    p = ranked(spark, files(spark, sf_dir, "repo_id").filter("repo_id IS NOT NULL"), "repo_id", "id")
+    n = p.groupBy("repo_id").agg(F.count("*").cast("double").alias("n"))
+    p = p.join(n, "repo_id").withColumn("i", (F.col("ordinal") - 1).cast("double"))
     p = p.withColumn("h", F.when(F.col("n") > 1, 1 - (F.col("i") / (F.col("n") - 1)) * 2).otherwise(0.0))
     r, theta = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("h") * F.col("h"))), F.pi() * (3 - F.sqrt(F.lit(5.0))) * F.col("i")
     place = lambda c: S.round_half_up(c * 100, 4)
@@ -121,14 +126,16 @@ def context_budget(spark, sf_dir):
     return read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.when(budget < 400, None).when(F.length("text") > budget, cut).otherwise(F.col("text")).alias("context"))
 
 
-_RAW = "'  Answer: <think>' || left(text, 20) || '</think> ' || left(text, 200) || '  '"
+# White space of any script, written out: the engines' own classes differ.
+_WS = "[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+_RAW = "'  Answer: <think>' || text || '</think> ' || text || '  '"
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace({_RAW}, '(?is)<think>.*?</think>', '', 'g'), '(?i)^\\s*(?:answer|description|summary)\\s*:\\s*', ''), '\\s+', ' ', 'g')) AS cleaned FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(left(text, 200), '[^\\x00-\\x7F]')")
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_RAW}, '(?is)<think>.*?</think>', '', 'g'), '(?i)^{_WS}*(?:answer|description|summary){_WS}*:{_WS}*', ''), '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}+', ' ', 'g') AS cleaned FROM documents WHERE text IS NOT NULL")
 def clean_response(spark, sf_dir):
-    """Model replies made from the texts whose start is ASCII: white space of other scripts differs between engines."""
-    raw = F.concat(F.lit("  Answer: <think>"), F.substring("text", 1, 20), F.lit("</think> "), F.substring("text", 1, 200), F.lit("  "))
-    return read(spark, sf_dir, "documents").filter(F.col("text").isNotNull() & ~F.substring("text", 1, 200).rlike("[^\\x00-\\x7F]")).select("doc_id", S.clean_response(raw).alias("cleaned"))
+    """Model replies made from whole texts."""
+    raw = F.concat(F.lit("  Answer: <think>"), "text", F.lit("</think> "), "text", F.lit("  "))
+    return read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", S.clean_response(raw).alias("cleaned"))
 
 
 @query("SELECT event_id, CAST(coalesce(TRY_CAST(nullif(regexp_extract(t, '(\\d+)m', 1), '') AS DOUBLE), 0) * 60000 + coalesce(TRY_CAST(nullif(regexp_extract(t, '(\\d+\\.?\\d*)s', 1), '') AS DOUBLE), 0) * 1000 AS DOUBLE) AS ms FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (event_id % 7) || 'm' || (event_id % 60) || '.5s' WHEN event_id % 3 = 1 THEN (event_id % 90) || '.25s' ELSE 'soon' END AS t FROM events)")
@@ -138,12 +145,24 @@ def parse_retry_time(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", S.retry_ms(text).alias("ms"))
 
 
-@query("SELECT store_path, coalesce(j->>'$.description', '') AS description FROM (SELECT store_path, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM record_files) WHERE json_type(j) = 'OBJECT' AND j->>'$.id' IS NOT NULL")
+_REPLY = """CASE WHEN text = '' THEN '' WHEN doc_id % 4 = 0 THEN json_object('description', text, 'tags', ['A' || doc_id, 'b'])::VARCHAR WHEN doc_id % 4 = 1 THEN 'Sure! ' || json_object('tags', ['Q'], 'description', text)::VARCHAR || ' ok.' WHEN doc_id % 4 = 2 THEN text || chr(10) || 'Tags: ["X Y", z' || doc_id || ']' ELSE text END"""
+
+
+@query(f"""SELECT doc_id, CASE WHEN good THEN regexp_replace(j->>'$.description', '^{_WS}+|{_WS}+$', '', 'g') ELSE regexp_replace(regexp_replace(reply, '(?i)tags?:{_WS}*\\[[^\\]]+\\]', ''), '^{_WS}+|{_WS}+$', '', 'g') END AS description,
+  CASE WHEN good THEN array_to_string(list_transform(json_extract_string(j, '$.tags[*]')[1:10], lambda t: lower(t)), ',')
+  ELSE array_to_string(list_filter(list_transform(string_split(regexp_extract(reply, '(?i)tags?:{_WS}*\\[([^\\]]+)\\]', 1), ','), lambda t: lower(regexp_replace(regexp_replace(t, '^{_WS}+|{_WS}+$', '', 'g'), '[''"]', '', 'g'))), lambda t: t <> ''), ',') END AS tags
+FROM (SELECT *, j IS NOT NULL AND coalesce(json_type(j, '$.tags') = 'ARRAY', false) AND coalesce(json_type(j, '$.description') = 'VARCHAR', false) AND j->>'$.description' <> '' AS good
+  FROM (SELECT doc_id, reply, CASE WHEN json_valid(m) THEN m::JSON END AS j FROM (SELECT doc_id, reply, regexp_extract(reply, '(?s)\\{{.*\\}}') AS m FROM (SELECT doc_id, {_REPLY} AS reply FROM documents WHERE text IS NOT NULL))))""")
 def parse_response(spark, sf_dir):
-    """The description of a reply that is one JSON object; anything else gives no row."""
-    j = F.from_json("body", "id string, description string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    rows = read(spark, sf_dir, "record_files").filter(F.col("body").rlike(r"^\s*\{") & ~F.col("body").rlike(r"\}\s*\n\s*\{")).select("store_path", j.alias("j")).filter("j._bad IS NULL AND j.id IS NOT NULL")
-    return rows.select("store_path", F.coalesce("j.description", F.lit("")).alias("description"))
+    """Replies made from whole texts: bare JSON, JSON within a sentence, a text with a line of tags, a plain text."""
+    kind, reply = F.pmod("doc_id", F.lit(4)), F.col("text")
+    js = lambda *cols: F.to_json(F.struct(*cols))
+    first = js(reply.alias("description"), F.array(F.concat(F.lit("A"), F.col("doc_id").cast("string")), F.lit("b")).alias("tags"))
+    second = F.concat(F.lit("Sure! "), js(F.array(F.lit("Q")).alias("tags"), reply.alias("description")), F.lit(" ok."))
+    third = F.concat(reply, F.lit('\nTags: ["X Y", z'), F.col("doc_id").cast("string"), F.lit("]"))
+    made = F.when(reply == "", "").when(kind == 0, first).when(kind == 1, second).when(kind == 2, third).otherwise(reply)
+    p = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", S.parse_response(made).alias("p"))
+    return p.select("doc_id", "p.description", F.array_join("p.tags", ",").alias("tags"))
 
 
 @query("SELECT id, part_no, lag(left(text, 80)) OVER (PARTITION BY file_id ORDER BY part_no, id) AS before FROM (SELECT DISTINCT id, file_id, part_no, text FROM chunks)")
@@ -152,33 +171,13 @@ def chunk_prev_context(spark, sf_dir):
     return read(spark, sf_dir, "chunks").select("id", "file_id", "part_no", "text").distinct().select("id", "part_no", F.lag(F.substring("text", 1, 80)).over(order).alias("before"))
 
 
-def chunk_spans(text: str, cap: int, slack: int = 100) -> list[tuple[int, int]]:
-    """Spans of about `cap` characters: the first line end within `slack` of the cap closes one, the cap itself where there is none. A text within the cap is one span."""
-    n = len(text)
-    if n <= cap:
-        return [(0, n)]
-    line_ends = [m.end() for m in re.finditer("\n", text)]
-    borders = [0]
-    while (goal := borders[-1] + cap) < n:
-        k = bisect_left(line_ends, goal - slack + 1)
-        borders.append(line_ends[k] if k < len(line_ends) and line_ends[k] <= goal + slack else goal)
-    if borders[-1] < n:
-        borders.append(n)
-    return list(pairwise(borders))
+_CUT = "CASE WHEN length(content) - {0} <= 1000 THEN length(content) WHEN strpos(substring(content, {0} + 901, 200), chr(10)) > 0 THEN {0} + 900 + strpos(substring(content, {0} + 901, 200), chr(10)) ELSE {0} + 1000 END"
 
 
-@query()
+@query(sql("SELECT file_id, CAST(part_no AS INTEGER) AS part_no, substring(content, a + 1, b - a) AS text FROM ck", f"ck(file_id, content, part_no, a, b) AS (SELECT id, content, 0, 0, {_CUT.format('0')} FROM f WHERE content IS NOT NULL UNION ALL SELECT file_id, content, part_no + 1, b, {_CUT.format('b')} FROM ck WHERE b < length(content))").replace("WITH", "WITH RECURSIVE", 1))
 def chunk_content(spark, sf_dir):
-    """Contents in parts of about 1,000 characters at line ends."""
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            rows = [(i, n, x[s:e]) for i, x in zip(b["id"], b["content"]) for n, (s, e) in enumerate(chunk_spans(x, 1000))]
-            yield pd.DataFrame(rows, columns=["file_id", "part_no", "text"])
-
-    return files(spark, sf_dir, "content").filter("content IS NOT NULL").mapInPandas(run, "file_id string, part_no int, text string")
+    """Contents in parts of about 1,000 characters at line ends. Whole contents are the result, so they travel with their ids."""
+    return files(spark, sf_dir, "content").filter("content IS NOT NULL").select(F.col("id").alias("file_id"), F.posexplode(S.chunks(F.col("content"), 1000)).alias("part_no", "text"))
 
 
 @query(sql("SELECT id AS file_id, array_to_string(list_transform(list_filter(coalesce(imports, []), lambda i: i.type = 'package'), lambda i: i.source), ',') AS packages, array_to_string(list_transform(list_filter(coalesce(imports, []), lambda i: i.type = 'file'), lambda i: i.source), ',') AS locals, array_to_string(list_transform(coalesce(functions, []), lambda x: x.name), ',') AS names, array_to_string(list_transform(coalesce(exported, []), lambda e: e.name), ',') AS exports FROM f"))
@@ -211,38 +210,35 @@ def render_function_prompt(spark, sf_dir):
 
 @query()
 def heuristic_file_description(spark, sf_dir):
-    return file_description(files(spark, sf_dir, "name", "path", "type", "language", "imports", "exported", "functions", "content").filter("type = 'code'"))
-
-
-_IMPORT = r"(?m)^(?:import\s(?:[^;'\"]*?from\s*)?|(?:const|let|var)\s[^=;]*=\s*require\(|require\(|export\s[^;'\"=(]*?from\s*)['\"]([^'\"\n]+)['\"]"  # fixed values
-_SYMBOL = r"(?m)^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class|interface|enum|type|const|let|var)\s+([A-Za-z_$][\w$]*)"
-_EXPORT = r"(?m)^export\s+(?:async\s+)?(?:function\s*\*?|class|interface|enum|type|const|let|var)\s+([A-Za-z_$][\w$]*)"
-_q = lambda p: p.replace("'", "''")
+    """Signals of whole contents; the sentences travel, the contents don't."""
+    rows = file_description(versions(spark, sf_dir), "type", "_at", "_tie").withColumnRenamed("file_id", "id")
+    return latest(rows).filter("type = 'code'").select(F.col("id").alias("file_id"), "description")
 
 
-def _statements(spark, sf_dir, pattern, name):
-    """Matches of top-level statements, which begin at the start of a line."""
-    fs = files(spark, sf_dir, "type", "content").filter("type = 'code' AND content IS NOT NULL")
-    return fs.select(F.col("id").alias("file_id"), F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).alias("ord", name)).select("file_id", F.col("ord").cast("long").alias("ord"), name)
+def _extracted(spark, sf_dir):
+    """Statements of the latest contents of code files: read below the exchange, so rows of symbols travel, not contents."""
+    return latest(statements.extract(versions(spark, sf_dir), "type", "_at", "_tie")).filter("type = 'code'").withColumnRenamed("id", "file_id")
 
 
-def _statements_sql(pattern, name):
-    return sql(f"SELECT file_id, unnest(range(len(m))) AS ord, unnest(m) AS {name} FROM (SELECT id AS file_id, regexp_extract_all(content, '{_q(pattern)}', 1) AS m FROM f WHERE type = 'code' AND content IS NOT NULL)")
-
-
-@query(_statements_sql(_IMPORT, "source"))
+@query()
 def extract_imports(spark, sf_dir):
-    return _statements(spark, sf_dir, _IMPORT, "source")
+    return _extracted(spark, sf_dir).select("file_id", F.posexplode("imports").alias("ord", "i")).select("file_id", "ord", "i.source", "i.type", F.col("i.line_imported").alias("line"))
 
 
-@query(_statements_sql(_SYMBOL, "name"))
+@query()
 def extract_symbols(spark, sf_dir):
-    return _statements(spark, sf_dir, _SYMBOL, "name")
+    return _extracted(spark, sf_dir).select("file_id", F.posexplode("functions").alias("ord", "x")).select("file_id", "ord", F.col("x.id").alias("symbol_id"), "x.name", F.col("x.type").alias("kind"), "x.signature", "x.line_start", "x.line_end", "x.exports", F.array_join("x.parameters", ", ").alias("parameters"), "x.return_type")
 
 
-@query(_statements_sql(_EXPORT, "name"))
+@query()
 def extract_exports(spark, sf_dir):
-    return _statements(spark, sf_dir, _EXPORT, "name")
+    return _extracted(spark, sf_dir).select("file_id", F.posexplode("exported").alias("ord", "e")).select("file_id", "ord", "e.name", "e.type", F.col("e.id").alias("symbol_id"))
+
+
+@query()
+def extract_failures(spark, sf_dir):
+    """Files whose statements can't be told; they stay in the map with empty lists."""
+    return _extracted(spark, sf_dir).filter("error IS NOT NULL").select("file_id", "error")
 
 
 # Extensions of ours, not in the reference: event-time windows over the events table.

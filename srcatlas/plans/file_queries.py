@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import scalars as S
-from .base import files, read, sql
+from .base import files, latest, ranked, read, sql, versions
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -27,17 +26,24 @@ def _in(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
+def _by_value(key: str, table: dict[str, str]) -> str:
+    return " ".join(f"WHEN {key} IN ({_in(k for k, x in table.items() if x == v)}) THEN '{v}'" for v in dict.fromkeys(table.values()))
+
+
 _BASE = "regexp_extract(path, '[^/]*$')"
 _EXT = f"lower(regexp_extract({_BASE}, '^.+(\\.[^.]*)$', 1))"
 _SPECIAL = " ".join(f"WHEN {_BASE} IN ({_in(ns)}) THEN '{c}'" for c, ns in rules.SPECIAL.items())
-_CATEGORY = f"CASE {_SPECIAL} WHEN starts_with({_BASE}, '.env.') THEN 'config' " + " ".join(f"WHEN {_EXT} IN ({_in('.' + e for e in es.split())}) THEN '{c}'" for c, es in rules.EXT_CATEGORY.items()) + " ELSE 'other' END"
-_LANGUAGE = f"CASE WHEN {_BASE} = '.env' OR starts_with({_BASE}, '.env.') THEN 'dotenv' " + " ".join(f"WHEN {_EXT} IN ({_in('.' + e for e in es.split())}) THEN '{c}'" for c, es in rules.EXT_LANGUAGE.items()) + " ELSE 'unknown' END"
+_CATEGORY = f"CASE {_SPECIAL} WHEN starts_with({_BASE}, '.env.') THEN 'config' " + _by_value(_EXT, rules.EXT_CATEGORY) + " ELSE 'other' END"
+_LANGUAGE = f"CASE WHEN {_BASE} = '.env' OR starts_with({_BASE}, '.env.') THEN 'dotenv' " + _by_value(_EXT, rules.EXT_LANGUAGE) + " ELSE 'unknown' END"
 
 
 def _name():
     return S.basename(F.col("path"))
 
 
+def _told():
+    return F.col("content").isNotNull() & (F.col("type") == "code")
+
 
 @query(sql(f"SELECT id AS file_id, {_CATEGORY} AS category FROM f"))
 def file_category(spark, sf_dir):
@@ -51,13 +57,13 @@ def file_language(spark, sf_dir):
 
 @query(sql("SELECT id AS file_id, md5(content) AS hash FROM f"))
 def content_md5(spark, sf_dir):
-    return files(spark, sf_dir, "content").select(F.col("id").alias("file_id"), F.md5(F.encode("content", "utf-8")).alias("hash"))
+    return files(spark, sf_dir, md5=F.md5(F.encode("content", "utf-8"))).select(F.col("id").alias("file_id"), F.col("md5").alias("hash"))
 
 
 @query(sql("SELECT id AS file_id, repo_id, printf('file_%03d', row_number() OVER (PARTITION BY repo_id ORDER BY path, id)) AS scan_id FROM f"))
 def file_ids(spark, sf_dir):
-    order = Window.partitionBy("repo_id").orderBy("path", "id")
-    return files(spark, sf_dir, "repo_id", "path").select(F.col("id").alias("file_id"), "repo_id", F.format_string("file_%03d", F.row_number().over(order)).alias("scan_id"))
+    rows = ranked(spark, files(spark, sf_dir, "repo_id", "path"), "repo_id", "path", "id")
+    return rows.select(F.col("id").alias("file_id"), "repo_id", F.format_string("file_%03d", "ordinal").alias("scan_id"))
 
 
 @query(sql("SELECT id AS file_id, path FROM f WHERE type = 'code'"))
@@ -119,17 +125,30 @@ def importance_tier(spark, sf_dir):
     return files(spark, sf_dir, "importance_score").select(F.col("id").alias("file_id"), F.when(s >= 8, "Critical").when(s >= 5, "High").when(s >= 2, "Medium").otherwise("Low").alias("tier"))
 
 
-@query(sql("SELECT id AS node_id, floor((3.5 + 2.2 * pow(coalesce(importance_score, 0) + 1, 1.45)) * 1000000 + 0.5) / 1000000 AS size FROM f UNION ALL SELECT id, floor((7 + 3.5 * ln(1 + coalesce(usage_count, 0))) * 1000000 + 0.5) / 1000000 FROM packages"))
+@query(sql("SELECT id AS node_id, floor((3.5 + 2.2 * pow(coalesce(importance_score, 0) + 1, 1.45)) * 1000000 + 0.5) / 1000000 AS size FROM f UNION ALL SELECT id, floor((7 + 3.5 * ln(1 + coalesce(nullif(usage_count, 0), 1))) * 1000000 + 0.5) / 1000000 FROM packages UNION ALL SELECT DISTINCT u.x.id, 3.0 FROM f, UNNEST(functions) u(x) WHERE u.x.id IS NOT NULL"))
 def node_size(spark, sf_dir):
     of_file = 3.5 + 2.2 * F.pow(F.coalesce("importance_score", F.lit(0.0)) + 1, F.lit(1.45))
-    of_pkg = 7 + 3.5 * F.log(1 + F.coalesce("usage_count", F.lit(0)).cast("double"))
+    of_pkg = 7 + 3.5 * F.log(1 + F.coalesce(F.nullif("usage_count", F.lit(0)), F.lit(1)).cast("double"))
     a = files(spark, sf_dir, "importance_score").select(F.col("id").alias("node_id"), S.round_half_up(of_file, 6).alias("size"))
-    return a.unionAll(read(spark, sf_dir, "packages").select("id", S.round_half_up(of_pkg, 6)))
+    c = _symbols(spark, sf_dir).select(F.col("s.id").alias("node_id")).filter("node_id IS NOT NULL").distinct().select("node_id", F.lit(3.0))
+    return a.unionAll(read(spark, sf_dir, "packages").select("id", S.round_half_up(of_pkg, 6))).unionAll(c)
+
+
+@query(sql("SELECT id AS file_id, CASE WHEN size_bytes IS NULL THEN '—' WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN format('{:.1f} KB', floor(size_bytes / 1024 * 10 + 0.5) / 10) ELSE format('{:.2f} MB', floor(size_bytes / 1048576 * 100 + 0.5) / 100) END AS size FROM f"))
+def format_bytes(spark, sf_dir):
+    return files(spark, sf_dir, "size_bytes").select(F.col("id").alias("file_id"), S.format_bytes(F.col("size_bytes")).alias("size"))
+
+
+@query(sql("SELECT repo_id, CAST(floor(done / total * 100 + 0.5) AS BIGINT) || '% ▕' || repeat('█', CAST(floor(done * 40 / total + 0.5) AS BIGINT)) || repeat('░', 40 - CAST(floor(done * 40 / total + 0.5) AS BIGINT)) || '▏ (' || done || '/' || total || ')' AS bar FROM (SELECT repo_id, count_if(coalesce(description, '') <> '') AS done, count(*) AS total FROM f WHERE type = 'code' GROUP BY 1)"))
+def progress_bar(spark, sf_dir):
+    """How many code files of each repository have a description."""
+    g = files(spark, sf_dir, "repo_id", "type", "description").filter("type = 'code'").groupBy("repo_id").agg(F.count_if(F.coalesce("description", F.lit("")) != "").alias("done"), F.count("*").alias("total"))
+    return g.select("repo_id", S.progress_bar(F.col("done"), F.col("total")).alias("bar"))
 
 
 @query(sql("SELECT id AS file_id, left(content, 500) AS snippet FROM f WHERE content IS NOT NULL"))
 def snippet(spark, sf_dir):
-    return files(spark, sf_dir, "content").filter("content IS NOT NULL").select(F.col("id").alias("file_id"), F.substring("content", 1, 500).alias("snippet"))
+    return files(spark, sf_dir, snippet=F.substring("content", 1, 500)).filter("snippet IS NOT NULL").select(F.col("id").alias("file_id"), "snippet")
 
 
 @query("SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'scan', ''))) // 4 AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
@@ -145,7 +164,7 @@ def tokenize(spark, sf_dir):
 _FN = "fn AS (SELECT DISTINCT f.id AS file_id, u.x AS s FROM f, UNNEST(f.functions) u(x))"
 _SPLIT = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[_-]+', ' ', 'g'), '\\$', ' ', 'g'), '\\s+', ' ', 'g'))"
 _WORDS = _SPLIT.format("s.name")
-_VERB = "CASE " + " ".join(f"WHEN lower(string_split(w, ' ')[1]) IN ({_in(ks.split())}) THEN '{v}'" for v, ks in rules.VERBS.items()) + " END"
+_VERB = "CASE " + _by_value("lower(string_split(w, ' ')[1])", rules.VERBS) + " END"
 _PHRASE = f"CASE WHEN {_VERB} IS NULL THEN NULL WHEN contains(w, ' ') THEN {_VERB} || ' ' || lower(w[strpos(w, ' ') + 1:]) ELSE lower({_VERB}) END"
 
 
@@ -207,11 +226,12 @@ _TESTS = {"s": "regexp_matches(sn, '{}')", "r": "(regexp_matches(sn, '{}') OR li
 _SIG = "[" + ", ".join(f"CASE WHEN {_TESTS[k].format(p)} THEN '{s}' END" for k, p, s in rules.SIGNALS) + "]"
 
 
-@query(sql(f"SELECT file_id, array_to_string(list_filter({_SIG}, lambda z: z IS NOT NULL), '; ') AS signals FROM (SELECT id AS file_id, {_HAY} AS h, left(content, 500) AS sn, list_transform(coalesce(imports, []), lambda i: i.source) AS src FROM f WHERE content IS NOT NULL AND type = 'code')"))
+@query(sql(f"SELECT file_id, array_to_string(list_filter({_SIG}, lambda z: z IS NOT NULL), '; ') AS signals FROM (SELECT id AS file_id, {_HAY} AS h, content AS sn, list_transform(coalesce(imports, []), lambda i: i.source) AS src FROM f WHERE content IS NOT NULL AND type = 'code')"))
 def behavior_signals(spark, sf_dir):
+    """Signals of whole contents."""
     src = F.transform(F.coalesce("imports", F.array().cast(IMPORTS)), lambda i: i["source"])
-    df = files(spark, sf_dir, "path", "functions", "imports", "content", "type").filter("content IS NOT NULL AND type = 'code'")
-    return df.select(F.col("id").alias("file_id"), F.array_join(S.behavior_signals(F.col("path"), _name(), _names(), F.coalesce(src, F.array().cast("array<string>")), F.substring("content", 1, 500)), "; ").alias("signals"))
+    signals = F.array_join(S.behavior_signals(F.col("path"), _name(), _names(), F.coalesce(src, F.array().cast("array<string>")), F.col("content")), "; ")
+    return files(spark, sf_dir, "type", signals=F.when(_told(), signals)).filter("signals IS NOT NULL AND type = 'code'").select(F.col("id").alias("file_id"), "signals")
 
 
 _ENV = "list_concat(list_concat(list_concat(list_concat({}, {}), {}), {}), {})".format(*["regexp_extract_all(content, '" + p.replace("'", "''") + "', 1)" for p in S.ENV_PATTERNS])
@@ -219,10 +239,19 @@ _ENV = "list_concat(list_concat(list_concat(list_concat({}, {}), {}), {}), {})".
 
 @query(sql(f"SELECT file_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(flatten(list_transform(h, lambda x: string_split(x, ','))), lambda y: y), lambda y: regexp_matches(y, '^[A-Z][A-Z0-9_]*$')))), ',') AS env_vars FROM (SELECT id AS file_id, list_transform({_ENV}, lambda z: CASE WHEN contains(z, ',') THEN regexp_replace(z, '\\s*,\\s*', ',', 'g') ELSE z END) AS h FROM f WHERE content IS NOT NULL AND type = 'code')"))
 def env_vars(spark, sf_dir):
-    return files(spark, sf_dir, "content", "type").filter("content IS NOT NULL AND type = 'code'").select(F.col("id").alias("file_id"), F.array_join(S.env_vars(F.col("content")), ",").alias("env_vars"))
-
-
-_TAGS = ", ".join(f"CASE WHEN regexp_matches(content, '{S.tag_pattern(t, False)}') THEN '{t}' END" for t in rules.TAG_WORDS)
+    return files(spark, sf_dir, "type", env_vars=F.when(_told(), F.array_join(S.env_vars(F.col("content")), ","))).filter("env_vars IS NOT NULL AND type = 'code'").select(F.col("id").alias("file_id"), "env_vars")
+
+
+# Written out once more: the oracle's values are its own.
+_TAG_SQL = {
+    "api-client": r"\bfetch\s*\(|\baxios\b|\bgot\b|\bnode-fetch\b|\bundici\b|\buseQuery\s*\(|\buseMutation\s*\(|\buseSWR\s*\(|\bApolloClient\b|\bgraphql\s*\(",
+    "browser-storage": r"\blocalStorage\b|\bsessionStorage\b|\bdocument\.cookie\b|\bcookies\.set\b|\bIndexedDB\b",
+    "side-effect-hook": r"\buse(Effect|LayoutEffect|InsertionEffect)\s*\(",
+    "db-client": r"\b(mongoose|prisma|pg|mysql2|sequelize|drizzle-orm|kysely|supabase|firebase)\b|[A-Za-z0-9_]@prisma/client\b",
+    "auth": r"\b(next-auth|passport|jsonwebtoken|jwt|bcrypt|argon2|crypto|session)\b|[A-Za-z0-9_]@auth/",
+    "routing": r"\b(react-router|vue-router|useRouter|useSearchParams|useParams)\b|\busePathname\s*\(|\bLink\s+from\s+[''\"]next/link[''\"]|[A-Za-z0-9_]@tanstack/react-router\b",
+}
+_TAGS = ", ".join(f"CASE WHEN regexp_matches(content, '{p}') THEN '{t}' END" for t, p in _TAG_SQL.items())
 _ITAGS = ", ".join(f"CASE WHEN list_has_any(src, [{_in(p)}]) THEN '{t}' END" for t, p in rules.IMPORT_TAGS.items())
 _SRC = "list_transform(coalesce(imports, []), lambda i: i.source) AS src"
 
@@ -230,7 +259,7 @@ _SRC = "list_transform(coalesce(imports, []), lambda i: i.source) AS src"
 @query(sql(f"SELECT id AS file_id, CASE WHEN content = '' THEN '' ELSE array_to_string(list_sort(list_distinct(list_filter([{_TAGS}, {_ITAGS}], lambda z: z IS NOT NULL))), ',') END AS tags FROM (SELECT *, {_SRC} FROM f WHERE type = 'code' AND content IS NOT NULL)"))
 def behavior_tags(spark, sf_dir):
     src = F.coalesce(F.transform("imports", lambda i: i["source"]), F.array().cast("array<string>"))
-    return files(spark, sf_dir, "content", "imports", "type").filter("type = 'code' AND content IS NOT NULL").select(F.col("id").alias("file_id"), F.array_join(S.behavior_tags(F.col("content"), src), ",").alias("tags"))
+    return files(spark, sf_dir, "type", tags=F.when(_told(), F.array_join(S.behavior_tags(F.col("content"), src), ","))).filter("type = 'code' AND tags IS NOT NULL").select(F.col("id").alias("file_id"), "tags")
 
 
 @query(sql(f"SELECT id AS file_id, array_to_string(list_sort(list_filter([{_ITAGS}], lambda z: z IS NOT NULL)), ',') AS tags FROM (SELECT *, {_SRC} FROM f WHERE type = 'code')"))
@@ -283,8 +312,8 @@ def heuristic_noncode_description(spark, sf_dir):
 
 @query(sql("SELECT hash, ext, count(*) AS n_files, min(id) AS first_id FROM (SELECT id, md5(content) AS hash, " + _EXT + " AS ext FROM f WHERE type = 'code' AND content IS NOT NULL) GROUP BY 1, 2"))
 def parse_dedup_by_hash(spark, sf_dir):
-    df = files(spark, sf_dir, "path", "content", "type").filter("type = 'code' AND content IS NOT NULL")
-    return df.groupBy(F.md5(F.encode("content", "utf-8")).alias("hash"), S.extension(_name()).alias("ext")).agg(F.count("*").alias("n_files"), F.min("id").alias("first_id"))
+    df = files(spark, sf_dir, "path", "type", md5=F.md5(F.encode("content", "utf-8"))).filter("type = 'code' AND md5 IS NOT NULL")
+    return df.groupBy(F.col("md5").alias("hash"), S.extension(_name()).alias("ext")).agg(F.count("*").alias("n_files"), F.min("id").alias("first_id"))
 
 
 @query(sql("SELECT repo_id, count(*) AS files_analyzed, count_if(type = 'code') AS files_summarizable FROM f GROUP BY 1"))
@@ -301,9 +330,11 @@ def project_tree(spark, sf_dir):
 
 @query(sql("SELECT id AS file_id, path, content FROM f WHERE path = (SELECT min(path) FROM f WHERE type = 'code')"))
 def get_file(spark, sf_dir):
-    df = files(spark, sf_dir, "path", "type", "content")
+    """The files at the first path: their ids are found without contents, then only their contents are read."""
+    df = files(spark, sf_dir, "path", "type")
     first = df.filter("type = 'code'").agg(F.min("path").alias("path"))
-    return df.join(F.broadcast(first), "path").select(F.col("id").alias("file_id"), "path", "content")
+    ids = df.join(F.broadcast(first), "path").select("id")
+    return latest(versions(spark, sf_dir).join(ids, "id", "left_semi")).select(F.col("id").alias("file_id"), "path", "content")
 
 
 @query(sql("SELECT id AS file_id, path FROM f WHERE contains(lower(path), 'cart') OR contains(lower(coalesce(description, '')), 'cart') ORDER BY path, id LIMIT 10"))

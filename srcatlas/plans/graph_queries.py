@@ -9,6 +9,7 @@ from ..functions import rules
 from ..functions import scalars as S
 from ..operators import graph as G
 from ..operators import links as L
+from ..runtime import Scratch
 from .base import F_SQL, files, read, sql
 
 QUERIES: dict = {}
@@ -169,8 +170,13 @@ def trade(spark, sf_dir):
 _DEG = "deg AS (SELECT n_nationkey AS id, CAST(coalesce(i.n, 0) AS BIGINT) AS incoming, CAST(coalesce(o.n, 0) AS BIGINT) AS outgoing, CAST(coalesce(i.u, 0) AS BIGINT) AS usage FROM nation LEFT JOIN (SELECT b, count(*) n, sum(frequency) u FROM trade GROUP BY 1) i ON i.b = n_nationkey LEFT JOIN (SELECT a, count(*) n FROM trade GROUP BY 1) o ON o.a = n_nationkey)"
 
 
+def _trade(spark, sf_dir):
+    """The trade graph, written once for all that reads it."""
+    return Scratch(spark, "trade").cut(trade(spark, sf_dir))[0]
+
+
 def _degrees(spark, sf_dir):
-    t = trade(spark, sf_dir).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), "frequency")
+    t = _trade(spark, sf_dir).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), "frequency")
     return t, L.degrees(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")), t)
 
 
@@ -186,19 +192,19 @@ sg AS (SELECT s, t, d, count(*) sigma FROM pth GROUP BY 1, 2, 3),
 bc AS (SELECT v.t AS id, sum(v.sigma * w.sigma * 1.0 / st.sigma) bc FROM sg v JOIN sg w ON w.s = v.t JOIN sg st ON st.s = v.s AND st.t = w.t AND st.d = v.d + w.d WHERE v.s <> v.t AND w.t <> v.t AND v.s <> w.t GROUP BY 1)"""
 
 
-def _bc(spark, sf_dir):
-    return G.betweenness(spark, read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")), trade(spark, sf_dir).select("a", "b"))
+def _bc(spark, sf_dir, t):
+    return G.betweenness(spark, read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")), t.select("a", "b"))
 
 
 @query(f"WITH RECURSIVE {TRADE}, {_BC} SELECT n_nationkey AS id, floor(coalesce(bc, 0) * 10000 + 0.5) / 10000 AS betweenness FROM nation LEFT JOIN bc ON id = n_nationkey")
 def betweenness(spark, sf_dir):
-    return _bc(spark, sf_dir).select("id", S.round_half_up(F.col("betweenness"), 4).alias("betweenness"))
+    return _bc(spark, sf_dir, trade(spark, sf_dir)).select("id", S.round_half_up(F.col("betweenness"), 4).alias("betweenness"))
 
 
 def _raw(spark, sf_dir):
     t, d = _degrees(spark, sf_dir)
     raw = G.raw_importance(F.col("incoming"), F.col("outgoing"), F.col("usage"), F.col("betweenness"))
-    return t, d.join(_bc(spark, sf_dir), "id").select("id", raw.alias("raw"))
+    return t, d.join(_bc(spark, sf_dir, t.toDF("a", "b", "frequency")), "id").select("id", raw.alias("raw"))
 
 
 @query(f"WITH RECURSIVE {TRADE}, {_DEG}, {_BC} SELECT deg.id, floor((1.2 * incoming + 0.8 * outgoing + 0.5 * usage + 1.5 * coalesce(bc, 0)) * 10000 + 0.5) / 10000 AS raw FROM deg LEFT JOIN bc ON bc.id = deg.id")
@@ -225,15 +231,84 @@ def importance_score_jacobi(spark, sf_dir):
     return G.importance(spark, raw.withColumn("ord", F.col("id")), t.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")), simultaneous=True).select("id", "score")
 
 
-@query(sql("SELECT f.repo_id, count(*) AS total_files, CAST(coalesce(sum(len(functions)), 0) AS BIGINT) AS total_functions, CAST(coalesce(any_value(e.n), 0) AS BIGINT) AS total_connections, CASE WHEN count(*) > 1 THEN floor(coalesce(any_value(e.n), 0) * 10000.0 / (count(*) * (count(*) - 1)) + 0.5) / 10000 ELSE 0 END AS network_density, arg_max(f.id, (coalesce(importance_score, 0), -CAST(right(f.id, 9) AS BIGINT))) AS most_important FROM f LEFT JOIN (SELECT repo_id, count(*) AS n FROM dir GROUP BY 1) e ON e.repo_id = f.repo_id WHERE f.repo_id IS NOT NULL GROUP BY 1", *CHAIN))
+# The same over the files' own links: direct and route links, each row an edge.
+_FL = "fl AS (SELECT from_id AS a, to_id AS b, frequency FROM dir UNION ALL SELECT from_id, to_id, frequency FROM rt)"
+_FDEG = "deg AS (SELECT id, repo_id, CAST(coalesce(i.n, 0) AS BIGINT) AS incoming, CAST(coalesce(o.n, 0) AS BIGINT) AS outgoing, CAST(coalesce(i.u, 0) AS BIGINT) AS usage FROM f LEFT JOIN (SELECT b, count(*) n, sum(frequency) u FROM fl GROUP BY 1) i ON i.b = id LEFT JOIN (SELECT a, count(*) n FROM fl GROUP BY 1) o ON o.a = id)"
+_FBC = """fe AS (SELECT a, b, count(*) AS m FROM fl WHERE a <> b GROUP BY 1, 2),
+walk(s, t, d) AS (SELECT DISTINCT a, a, 0 FROM fe UNION SELECT w.s, e.b, w.d + 1 FROM walk w JOIN fe e ON w.t = e.a WHERE w.d < 40),
+dist AS (SELECT s, t, min(d) d FROM walk GROUP BY 1, 2),
+sg(s, t, d, sigma) AS (SELECT DISTINCT a, a, 0, CAST(1 AS DOUBLE) FROM fe UNION ALL SELECT p.s, e.b, any_value(p.d) + 1, sum(p.sigma * e.m) FROM sg p JOIN fe e ON p.t = e.a JOIN dist x ON x.s = p.s AND x.t = e.b AND x.d = p.d + 1 GROUP BY p.s, e.b),
+bc AS (SELECT v.t AS id, sum(v.sigma * w.sigma / st.sigma) bc FROM sg v JOIN sg w ON w.s = v.t JOIN sg st ON st.s = v.s AND st.t = w.t AND st.d = v.d + w.d WHERE v.s <> v.t AND w.t <> v.t AND v.s <> w.t GROUP BY 1)"""
+
+
+def _file_links(spark, sf_dir):
+    """(a, b, frequency), written once."""
+    rt = L.route_links(files(spark, sf_dir, "repo_id", "path"))
+    ends = lambda df: df.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), "frequency")
+    return Scratch(spark, "links").cut(ends(_direct(spark, sf_dir)).unionAll(ends(rt)))[0]
+
+
+def _file_degrees(spark, sf_dir, fl):
+    return L.degrees(files(spark, sf_dir).select("id"), fl.toDF("from_id", "to_id", "frequency"))
+
+
+@query(sql("SELECT id, incoming, outgoing, usage FROM deg", *CHAIN, ROUTE, _FL, _FDEG))
+def file_degrees(spark, sf_dir):
+    return _file_degrees(spark, sf_dir, _file_links(spark, sf_dir))
+
+
+@query(sql("SELECT f.id, floor(coalesce(bc, 0) * 10000 + 0.5) / 10000 AS betweenness FROM f LEFT JOIN bc ON bc.id = f.id", *CHAIN, ROUTE, _FL, _FBC).replace("WITH", "WITH RECURSIVE", 1))
+def file_betweenness(spark, sf_dir):
+    bc = G.betweenness(spark, files(spark, sf_dir).select("id"), _file_links(spark, sf_dir).select("a", "b"))
+    return bc.select("id", S.round_half_up(F.col("betweenness"), 4).alias("betweenness"))
+
+
+def file_ranks(spark, fs, fl, simultaneous=False):
+    """(repo_id, id, raw, score) of files (repo_id, id) by their links (a, b, frequency); files in the order of their ids."""
+    bc = G.betweenness(spark, fs.select("id"), fl.select("a", "b"))
+    d = L.degrees(fs.select("id"), fl.toDF("from_id", "to_id", "frequency")).join(bc, "id")
+    raw = G.raw_importance(F.col("incoming"), F.col("outgoing"), F.col("usage"), F.col("betweenness"))
+    nodes = fs.select("repo_id", "id").join(d.select("id", raw.alias("raw")), "id").select("repo_id", F.col("id").alias("ord"), "id", "raw")
+    return G.importance(spark, nodes, fl.select("a", "b"), simultaneous)
+
+
+@query()
+def file_importance(spark, sf_dir):
+    """Importance of every file within its repository."""
+    return file_ranks(spark, files(spark, sf_dir, "repo_id").select("repo_id", "id"), _file_links(spark, sf_dir)).select("id", S.round_half_up(F.col("raw"), 4).alias("raw"), "score")
+
+
+_SCC = "sreach(s, t) AS (SELECT from_id, to_id FROM dir UNION SELECT r.s, d.to_id FROM sreach r JOIN dir d ON d.from_id = r.t), scc AS (SELECT x.s AS id, least(x.s, min(x.t)) AS scc, count(*) + CASE WHEN bool_or(x.t = x.s) THEN 0 ELSE 1 END AS size FROM sreach x JOIN sreach y ON y.s = x.t AND y.t = x.s GROUP BY 1 HAVING count(*) FILTER (x.t <> x.s) > 0)"
+_CYC = "cyc AS (SELECT id, scc FROM scc UNION SELECT from_id, from_id FROM dir WHERE from_id = to_id AND from_id NOT IN (SELECT id FROM scc))"
+
+
+@query(
+    sql(
+        """SELECT f.repo_id, count(*) AS total_files, CAST(coalesce(sum(len(functions)), 0) AS BIGINT) AS total_functions, CAST(coalesce(any_value(e.n), 0) AS BIGINT) AS total_connections,
+  CAST(coalesce(any_value(c.n), 0) AS BIGINT) AS circular_count, CASE WHEN count(*) > 1 THEN floor(coalesce(any_value(e.d), 0) * 1.0::DOUBLE / (count(*) * (count(*) - 1)) * 10000 + 0.5) / 10000 ELSE 0 END AS network_density,
+  floor(sum(CAST(coalesce(importance_score, 0) AS DECIMAL(18, 6)))::DOUBLE / count(*) * 100 + 0.5) / 100 AS average_importance, arg_min(f.id, (-coalesce(importance_score, 0), f.id)) AS most_important
+FROM f LEFT JOIN (SELECT g.repo_id, count(*) AS n, count_if(alln.type <> 'indirect' AND to_id IS NOT NULL) AS d FROM alln JOIN f g ON g.id = from_id GROUP BY 1) e ON e.repo_id IS NOT DISTINCT FROM f.repo_id
+LEFT JOIN (SELECT g.repo_id, count(DISTINCT scc) AS n FROM cyc JOIN f g ON g.id = cyc.id GROUP BY 1) c ON c.repo_id IS NOT DISTINCT FROM f.repo_id GROUP BY 1""",
+        *EVERY,
+        _SCC,
+        _CYC,
+    ).replace("WITH", "WITH RECURSIVE", 1)
+)
 def statistics(spark, sf_dir):
-    fs = files(spark, sf_dir, "repo_id", "functions", "importance_score").filter("repo_id IS NOT NULL")
-    n_links = _direct(spark, sf_dir).groupBy("repo_id").agg(F.count("*").alias("total_connections"))
-    best = F.max_by("id", F.struct(F.coalesce("importance_score", F.lit(0.0)), -F.right("id", F.lit(9)).cast("long")))
-    g = fs.groupBy("repo_id").agg(F.count("*").alias("total_files"), F.sum(F.greatest(F.coalesce(F.size("functions"), F.lit(0)), F.lit(0))).alias("total_functions"), best.alias("most_important")).join(n_links, "repo_id", "left").fillna(0, ["total_connections"])
+    """Counts, density of direct and route links, average importance and the most important file (of equals the first) of each repository; files without one form a group."""
+    fs = files(spark, sf_dir, "repo_id", "functions", "importance_score")
+    of = files(spark, sf_dir, "repo_id").select(F.col("id").alias("from_id"), "repo_id")
+    inner = (F.col("type") != "indirect") & F.col("to_id").isNotNull()
+    links = _all(spark, sf_dir).join(of, "from_id").groupBy(F.col("repo_id").alias("_l")).agg(F.count("*").alias("total_connections"), F.count_if(inner).alias("inner"))
+    circular = _cyclic(spark, sf_dir)[1].join(of.withColumnRenamed("from_id", "id"), "id").groupBy(F.col("repo_id").alias("_c")).agg(F.countDistinct("scc").alias("circular_count"))
+    score = F.coalesce("importance_score", F.lit(0.0))
+    functions = F.greatest(F.coalesce(F.size("functions"), F.lit(0)), F.lit(0))
+    g = fs.groupBy("repo_id").agg(F.count("*").alias("total_files"), F.sum(functions).alias("total_functions"), F.sum(score.cast("decimal(18,6)")).alias("points"), F.min_by("id", F.struct((-score).alias("s"), "id")).alias("most_important"))
+    g = g.join(links, F.col("repo_id").eqNullSafe(F.col("_l")), "left").join(circular, F.col("repo_id").eqNullSafe(F.col("_c")), "left").fillna(0, ["total_connections", "inner", "circular_count"])
     pairs = F.col("total_files") * (F.col("total_files") - 1)
-    density = F.when(F.col("total_files") > 1, S.round_half_up(F.col("total_connections").cast("double") / pairs, 4)).otherwise(0.0)
-    return g.select("repo_id", "total_files", "total_functions", "total_connections", density.alias("network_density"), "most_important")
+    density = F.when(F.col("total_files") > 1, S.round_half_up(F.col("inner").cast("double") / pairs, 4)).otherwise(0.0)
+    average = S.round_half_up(F.col("points").cast("double") / F.col("total_files"), 2)
+    return g.select("repo_id", "total_files", "total_functions", "total_connections", "circular_count", density.alias("network_density"), average.alias("average_importance"), "most_important")
 
 
 _T = lambda c: f"lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13)))"
@@ -299,9 +374,6 @@ def viz_networks(spark, sf_dir):
     return comp.join(out, "id", "left").groupBy("component").agg(F.count("*").alias("n_files"), F.sum(F.coalesce("out", F.lit(0))).alias("n_links")).filter("n_files > 1")
 
 
-_SCC = "sreach(s, t) AS (SELECT from_id, to_id FROM dir UNION SELECT r.s, d.to_id FROM sreach r JOIN dir d ON d.from_id = r.t), scc AS (SELECT x.s AS id, least(x.s, min(x.t)) AS scc, count(*) + CASE WHEN bool_or(x.t = x.s) THEN 0 ELSE 1 END AS size FROM sreach x JOIN sreach y ON y.s = x.t AND y.t = x.s GROUP BY 1 HAVING count(*) FILTER (x.t <> x.s) > 0)"
-
-
 def _strong(spark, sf_dir):
     d = _direct(spark, sf_dir)
     return d, G.strong_components(spark, d.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
@@ -312,9 +384,6 @@ def scc(spark, sf_dir):
     return _strong(spark, sf_dir)[1]
 
 
-_CYC = "cyc AS (SELECT id, scc FROM scc UNION SELECT from_id, from_id FROM dir WHERE from_id = to_id AND from_id NOT IN (SELECT id FROM scc))"
-
-
 def _cyclic(spark, sf_dir):
     d, s = _strong(spark, sf_dir)
     own = d.filter("from_id = to_id").select(F.col("from_id").alias("id")).distinct().join(s, "id", "left_anti")
@@ -341,7 +410,10 @@ def cycle_files_involved(spark, sf_dir):
     return d.join(x, "from_id").join(y, ["to_id", "scc"]).groupBy(F.col("scc").alias("cycle"), F.col("from_id").alias("file_id")).agg(F.min("line").alias("line"))
 
 
-@query()
+_TOPO = "bad AS (SELECT DISTINCT r.s AS id FROM sreach r JOIN sreach c ON c.s = r.t AND c.t = r.t), lv(id, l) AS (SELECT id, 0 FROM f WHERE id NOT IN (SELECT id FROM bad) UNION SELECT d.from_id, lv.l + 1 FROM lv JOIN dir d ON d.to_id = lv.id WHERE d.from_id NOT IN (SELECT id FROM bad))"
+
+
+@query(sql("SELECT f.id, max(lv.l) AS level FROM f LEFT JOIN lv ON lv.id = f.id GROUP BY 1", *CHAIN, _SCC, _TOPO).replace("WITH", "WITH RECURSIVE", 1))
 def topo_level(spark, sf_dir):
     """Levels of the files that are on or above no cycle; null for the others."""
     d = _direct(spark, sf_dir)

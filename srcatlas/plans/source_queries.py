@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch, checkpoint_dir
+from ..runtime import Scratch
 from ..sources import repository as R
 from ..sources.ignore import Ignore
 from .base import files, sql
@@ -47,8 +47,9 @@ def dotenv_parse(spark, sf_dir):
 
 def scan_files(spark, sf_dir):
     """A small tree in the shared folder, listed, filtered, classified and hashed. Only local and mounted folders hold trees."""
-    base = checkpoint_dir(spark)
-    root = Scratch(spark, "tree").root.removeprefix("file://").removeprefix("file:") if base.startswith(("file:", "/")) else "/nonexistent"
+    root = Scratch(spark, "tree").root.removeprefix("file://").removeprefix("file:")
+    if "://" in root:
+        raise ValueError("trees are read from mounted folders; spark.checkpoint.dir names another kind")
     tree = {"src/a.ts": "export const a = 1\n", "src/b.css": "b {}", "dist/x.js": "1", ".gitignore": "dist/\n*.log\n", "app.log": "", "docs/c.md": "# c", "z.woff2": "", ".hidden/d.js": "1"}
     for p, text in tree.items():
         os.makedirs(os.path.dirname(f"{root}/{p}"), exist_ok=True)

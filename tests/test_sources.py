@@ -62,16 +62,58 @@ def test_description(spark):
     assert d["3"].startswith("Implements the navigation bar in `ui/Nav.jsx` through the `Nav` component. It coordinates local modules such as `./x`.")
 
 
-def test_chunk_spans():
-    from srcatlas.plans.describe_queries import chunk_spans
-
-    assert chunk_spans("", 10) == [(0, 0)] and chunk_spans("a" * 10, 10) == [(0, 10)]
-    assert chunk_spans("a" * 25, 10, 3) == [(0, 10), (10, 20), (20, 25)]
-    text = "aaaaaaaa\nbbbbbbbbbb\ncc"
-    assert chunk_spans(text, 10, 3) == [(0, 9), (9, 20), (20, 22)]
-    for t in (text * 40, "x\n" * 700, "y" * 3001):
-        spans = chunk_spans(t, 1000)
-        assert "".join(t[a:b] for a, b in spans) == t and all(b - a <= 1100 for a, b in spans)
+def test_chunks(spark):
+    from pyspark.sql import functions as F
+
+    from srcatlas.functions import scalars as S
+
+    def parts(texts, cap, slack):
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        return [r["p"] for r in df.select(S.chunks(F.col("t"), cap, slack).alias("p")).collect()]
+
+    assert parts(["", "a" * 10, "a" * 25], 10, 3) == [[""], ["a" * 10], ["a" * 10, "a" * 10, "a" * 5]]
+    assert parts(["aaaaaaaa\nbbbbbbbbbb\ncc"], 10, 3) == [["aaaaaaaa\n", "bbbbbbbbbb\n", "cc"]]
+    long = ["aaaaaaaa\nbbbbbbbbbb\ncc" * 40, "x\n" * 700, "y" * 3001, "é\u2028\r" * 90_000]
+    for t, p in zip(long, parts(long, 1000, 100)):
+        assert "".join(p) == t and all(len(x) <= 1100 for x in p)
+
+
+def test_replies(spark):
+    from pyspark.sql import functions as F
+
+    from srcatlas.functions import scalars as S
+
+    told = {
+        None: ("", []), "  ": ("", []), "plain\u00a0": ("plain", []), 'x {"description": " d ", "tags": ["A", 2]} y': ("d", ["a", "2"]), '{"description": "", "tags": []}': ('{"description": "", "tags": []}', []),
+        "Does it.\nTags: ['X', \"y\" , ]\nmore tags: [z]": ("Does it.\n\nmore tags: [z]", ["x", "y"]), '{"description": "d", "tags": "no"}': ('{"description": "d", "tags": "no"}', []), "{broken": ("{broken", []),
+        '{"description": "d", "tags": [' + ", ".join(f'"{i}"' for i in range(12)) + "]}": ("d", [str(i) for i in range(10)]),
+    }
+    df = spark.createDataFrame([(t,) for t in told], "t string")
+    for r in df.select("t", S.parse_response(F.col("t")).alias("p")).collect():
+        assert (r["p"]["description"], r["p"]["tags"]) == told[r["t"]], r["t"]
+
+
+def test_formats(spark):
+    from pyspark.sql import functions as F
+
+    from srcatlas.functions import scalars as S
+
+    df = spark.createDataFrame([(None, 0, 0), (1023, 1, 2), (1536, 20, 20), (1 << 20, 0, 3)], "n long, a long, b long")
+    assert [r["x"] for r in df.select(S.format_bytes(F.col("n")).alias("x")).collect()] == ["—", "1023 B", "1.5 KB", "1.00 MB"]
+    assert [r["x"] for r in df.select(S.progress_bar(F.col("a"), F.col("b"), 4).alias("x")).collect()] == [None, "50% ▕██░░▏ (1/2)", "100% ▕████▏ (20/20)", "0% ▕░░░░▏ (0/3)"]
+
+
+def test_tags(spark):
+    from pyspark.sql import functions as F
+
+    from srcatlas.functions import scalars as S
+
+    told = {
+        "import Link from 'next/link'": ["routing"], "fetch (x)": ["api-client"], "prefetch(x)": [], "got": ["api-client"], "gotten": [], "from 'x@auth/core'": ["auth"], "'@auth/core'": [], "'@prisma/client'": ["db-client"],
+        "document.cookie": ["browser-storage"], "documentXcookie": [], "useEffect(() => {})": ["side-effect-hook"], "useEffect": [], "éfetch(x)": ["api-client"], "react-router-dom": ["routing"], "": [], "x@tanstack/react-router": ["routing"],
+    }
+    df = spark.createDataFrame([(t, []) for t in told], "t string, s array<string>")
+    assert {r["t"]: r["g"] for r in df.select("t", S.behavior_tags(F.col("t"), F.col("s")).alias("g")).collect()} == told
 
 
 def test_description_reads_whole_contents(spark):
