@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import os
 from collections.abc import Iterator
 
@@ -11,16 +13,19 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import scalars as S
+from ..operators import statements
+from ..runtime import ordinals
 from .ignore import Ignore, rewrite
 
 SOFT = {"docs": ["docs", "database"], "media": ["media"]}
 
 
-def enumerate_paths(root: str, hidden: bool = False) -> tuple[list[tuple[str, int, float]], int]:
-    """(relative path, size, mtime) in byte order, and how many entries were ignored. Links aren't followed; hidden folders are skipped, hidden files aren't."""
+def enumerate_paths(root: str, hidden: bool = False, out_dir: str | None = None) -> tuple[list[tuple[str, int, float]], int]:
+    """(relative path, size, mtime) in byte order, and how many entries were ignored. Links aren't followed; hidden folders are skipped unless asked for, hidden files aren't; out_dir is ignored."""
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
-    lines: list[str] = []
+    lines: list[str] = [out_dir] if out_dir else []
+    ignore = Ignore(lines)
     found: list[tuple[str, int, float]] = []
     ignored = 0
     todo = [""]
@@ -30,7 +35,7 @@ def enumerate_paths(root: str, hidden: bool = False) -> tuple[list[tuple[str, in
         if os.path.isfile(own):
             with open(own, errors="replace") as f:
                 lines += [rewrite(x, folder) for x in f.read().splitlines()]
-        ignore = Ignore(lines)
+            ignore = Ignore(lines)
         for e in sorted(os.scandir(os.path.join(root, folder)), key=lambda e: os.fsencode(e.name)):
             path = f"{folder}/{e.name}" if folder else e.name
             if e.name == ".git" or e.is_symlink():
@@ -42,24 +47,31 @@ def enumerate_paths(root: str, hidden: bool = False) -> tuple[list[tuple[str, in
                     todo.append(path)
             elif ignore(path):
                 ignored += 1
-            else:
+            elif os.access(os.path.join(root, path), os.R_OK):
                 st = e.stat()
                 found.append((path, st.st_size, st.st_mtime))
+            else:
+                logging.getLogger("srcatlas").warning("can't read %s", path)
     return sorted(found, key=lambda x: os.fsencode(x[0])), ignored
 
 
-def scan(spark: SparkSession, root: str, repo_id: str = "repo", aggressive: bool = True, docs: bool = False, media: bool = False) -> DataFrame:
-    """One row per kept file of a tree every executor can read: ids in walk order, category, language, MD5 and content.
+def scan(spark: SparkSession, root: str, repo_id: str = "repo", aggressive: bool = True, docs: bool = False, media: bool = False, hidden: bool = False, out_dir: str | None = None) -> DataFrame:
+    """One row per kept file of a tree every executor can read: ids in walk order, category, language, MD5, content, statements.
 
-    The tree is listed on the driver (names and sizes only); contents are read by the tasks. A file that can't be read gives no row.
+    The tree is listed on the driver (names and sizes only) and numbered before any content is read; contents are read by
+    the tasks and stay where they are. Unreadable files are left out with a warning; one that becomes unreadable later gives no row.
     """
-    found, _ = enumerate_paths(root)
-    listed = spark.createDataFrame([(i, p, s) for i, (p, s, _) in enumerate(found)], "n long, path string, size_bytes long")
+    return scanned(spark, root, enumerate_paths(root, hidden, out_dir)[0], repo_id, aggressive, docs, media)
+
+
+def scanned(spark: SparkSession, root: str, found: list[tuple[str, int, float]], repo_id: str = "repo", aggressive: bool = True, docs: bool = False, media: bool = False) -> DataFrame:
+    listed = spark.createDataFrame([(repo_id, i, *x) for i, x in enumerate(found)], "repo_id string, n long, path string, size_bytes long, mtime double")
     name = S.basename(F.col("path"))
     listed = listed.withColumn("name", name).withColumn("type", S.category(name)).withColumn("language", S.language(name)).filter(~F.col("type").isin(*rules.HARD_SKIP))
     if not aggressive:
         drop = [c for k, cs in SOFT.items() for c in cs if not {"docs": docs, "media": media}[k]]
         listed = listed.filter(~F.col("type").isin(*drop)) if drop else listed
+    listed = ordinals(spark, listed, "repo_id", "n").select("repo_id", F.format_string("file_%03d", "ordinal").alias("id"), "name", "path", "type", "language", "size_bytes", F.timestamp_seconds("mtime").alias("last_modified"))
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -68,13 +80,72 @@ def scan(spark: SparkSession, root: str, repo_id: str = "repo", aggressive: bool
                 try:
                     with open(os.path.join(root, p), "rb") as f:
                         data.append(f.read())
-                except OSError:
+                except OSError as e:
+                    logging.getLogger("srcatlas").warning("can't read %s: %s", p, e)
                     data.append(None)
             yield b.assign(content=data)
 
-    got = listed.repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism))).mapInPandas(contents, "n long, path string, size_bytes long, name string, type string, language string, content binary").filter("content IS NOT NULL")
-    order = Window.partitionBy(F.lit(repo_id)).orderBy("n")
-    return got.select(F.lit(repo_id).alias("repo_id"), F.format_string("file_%03d", F.row_number().over(order)).alias("id"), "name", "path", "type", "language", "size_bytes", F.md5("content").alias("hash"), F.decode("content", "utf-8").alias("content"))
+    schema = "repo_id string, id string, name string, path string, type string, language string, size_bytes long, last_modified timestamp, content binary"
+    spread = listed.repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism)))
+    got = spread.mapInPandas(contents, schema).filter("content IS NOT NULL")
+    told = got.withColumn("hash", F.md5("content")).withColumn("content", F.decode("content", "utf-8"))
+    rows = statements.extract(told, "repo_id", "name", "path", "type", "language", "size_bytes", "last_modified", "hash", "content")
+    return rows.withColumnRenamed("error", "parse_error").withColumn("summarizable", F.col("type") == "code")
+
+
+def tree_packages(spark: SparkSession, root: str, repo_id: str = "repo") -> DataFrame:
+    """The packages the tree's manifest declares, with the versions installed below node_modules; none without a manifest."""
+
+    def body(path: str) -> str | None:
+        try:
+            with open(os.path.join(root, path), errors="replace") as f:
+                return f.read()
+        except OSError:
+            return None
+
+    manifest = spark.createDataFrame([(repo_id, body("package.json"))], "repo_id string, body string")
+    names = [r["name"] for r in packages(manifest, spark.createDataFrame([], "repo_id string, name string, version string")).select("name").collect()]
+    there = spark.createDataFrame([(repo_id, n, body(f"node_modules/{n}/package.json")) for n in names], "repo_id string, name string, body string")
+    return packages(manifest, there.select("repo_id", "name", F.get_json_object("body", "$.version").alias("version")).filter("version IS NOT NULL"))
+
+
+# Names of files whose text tells a model about the repository.
+CONTEXT = ["agents.md", "AGENTS.md", "Agents.md", "AGENTS.MD", "context.md", "CONTEXT.md"]
+
+
+def context(root: str, context_tokens: int = 4096) -> str:
+    """The context files of a tree, joined and cut to an eighth of the model's window (4 characters a token, 4,000 at most); empty where that is under 400."""
+    budget = min(4000, int(context_tokens * 4 * 0.125))
+    parts = []
+    for name in CONTEXT:
+        path = os.path.join(root, name)
+        if budget >= 400 and os.path.isfile(path):
+            with open(path, errors="replace") as f:
+                parts.append(f"### {name}\n{f.read()}")
+    text = "\n\n".join(parts)
+    return text if len(text) <= budget else text[:budget] + "\n... [truncated]"
+
+
+def merged(*layers: dict) -> dict:
+    """Settings of later layers over earlier ones, objects merged key by key."""
+    out: dict = {}
+    for layer in layers:
+        for k, v in layer.items():
+            out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def settings(*paths: str, defaults: dict | None = None) -> dict:
+    """Settings from JSON files over the defaults; a missing or broken file adds nothing."""
+    layers = [defaults or {}]
+    for p in paths:
+        try:
+            with open(p) as f:
+                value = json.load(f)
+        except (OSError, ValueError):
+            continue
+        layers += [value] if isinstance(value, dict) else []
+    return merged(*layers)
 
 
 BUCKETS = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
