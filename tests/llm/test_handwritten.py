@@ -1,6 +1,6 @@
 import pytest
 
-from srcatlas.llm.handwritten import judged, verdict
+from srcatlas.llm.handwritten import by_layout, judged, statistics, verdict
 
 HAND = "import a from 'b';\n\nexport function run(x) {\n  if (!x) {\n    return null;\n  }\n  const y = x.map((z) => z + 1);\n  return y;\n}\n" * 2
 MIN = "!function(e,t){'use strict';" + "".join(f"function a{i}(n,r){{return n?r.id(n,{i}):null}}" for i in range(40)) + "}(this);"
@@ -52,3 +52,22 @@ def test_copies_and_odd_rows(spark):
     got = {r["file_id"]: r["reason"] for r in judged(df).collect()}
     assert {k: got[k] for k in "1234"} == {"1": "vendored", "2": "vendored", "3": None, "4": None} and set(got) == set("12347")
     assert judged(df.limit(0)).count() == 0
+
+
+def test_code_of_many_repositories(spark):
+    """Code that stands in three repositories is a copy without any notice; in two it may be anybody's. Copies of a row count once."""
+    other, third = HAND.replace("run", "walk"), HAND.replace("run", "stroll")
+    rows = [(str(i), f"r{i % 3}", f"src/{i}.js", "code", HAND) for i in range(9)]
+    rows += [(f"b{i}", f"r{i % 2}", f"lib/{i}.js", "code", other) for i in range(8)] + [("n1", None, "a.js", "code", third), ("n2", "r0", "a.js", "code", third), ("n3", "r1", "a.js", "code", third)]
+    df = spark.createDataFrame(rows + rows[:2], "id string, repo_id string, path string, type string, content string")
+    got = {r["file_id"]: (r["reason"], r["evidence"]) for r in judged(df).collect()}
+    assert {k for k, v in got.items() if v == ("vendored", "copies")} == {str(i) for i in range(9)}
+    assert all(v == (None, None) for k, v in got.items() if k[0] in "bn")
+
+
+def test_statistics_find_most_without_notices():
+    """Layout alone finds what the notices of generators and minifiers would tell."""
+    for path, content in (("a.js", GEN), ("a.js", MIN), ("a.js", DATA), ("a.ts", "// x\n" + GEN)):
+        assert by_layout(path, statistics(content))
+    for path in ("a.js", "a.ts", "a.tsx", "a.vue", "a.unknown"):
+        assert by_layout(path, statistics(HAND)) is None and by_layout(path, statistics("")) is None
