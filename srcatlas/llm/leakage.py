@@ -69,10 +69,10 @@ class Index:
         sizes = np.array([len(p) for p in self.passages], np.int64)
         ends = np.cumsum(sizes)
         self.joined = np.concatenate(self.passages) if self.passages else np.zeros(0, np.int64)
-        self.starts = {}
-        for n in STRETCHES:
-            each = [np.arange(e - size, e - n + 1) for e, size in zip(ends, sizes)]
-            self.starts[n] = np.concatenate(each) if each else np.zeros(0, np.int64), np.repeat(np.arange(len(each)), [len(x) for x in each])
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.sums = np.zeros(len(self.joined) + 1, np.int32)
+        # Where a stretch of n words lies within one passage.
+        self.inside = {n: self.owner[n - 1 :] == self.owner[: max(0, len(self.owner) - n + 1)] for n in STRETCHES}
         # No alignment is wider: the score of its matches pays for all of its gaps.
         self.widest = int(max(sizes, default=0) * (1 + _MATCH / -_EXTEND))
 
@@ -92,17 +92,21 @@ class Index:
 
     def possible(self, d: np.ndarray) -> list[int]:
         """The passages that d may hold, whatever is inserted into them."""
-        here = np.unique(d[d > 0])
-        if not len(self.joined) or np.count_nonzero(d) < LEAST - LEAST // ONE_IN:
+        known = d[d > 0]
+        if not len(self.joined) or len(known) < LEAST - LEAST // ONE_IN:
             return []
-        self.has[here] = True
-        n_here = np.r_[0, np.cumsum(self.has[self.joined])]
-        self.has[here] = False
-        out, row = set(), d[d > 0].tolist()
-        for n, (starts, owners) in self.starts.items():
+        self.has[known] = True
+        np.cumsum(self.has[self.joined], out=self.sums[1:])
+        self.has[known] = False
+        out, row = set(), None
+        for n, inside in self.inside.items():
             least = n - n // ONE_IN
-            at = np.flatnonzero(n_here[starts + n] - n_here[starts] >= least)
-            for k, owner in zip(starts[at].tolist(), owners[at].tolist()):
+            enough = (self.sums[n:] - self.sums[: len(inside)] >= least) & inside
+            if not enough.any():
+                continue
+            row = known.tolist() if row is None else row
+            for k in np.flatnonzero(enough).tolist():
+                owner = int(self.owner[k])
                 if owner not in out and in_order(self.joined[k : k + n].tolist(), row) >= least:
                     out.add(owner)
         return sorted(out)
@@ -165,6 +169,10 @@ def align(p: np.ndarray, d: np.ndarray) -> list[tuple[int, int]]:
 
 def covered(p: np.ndarray, d: np.ndarray) -> tuple[int, float] | None:
     """The longest run of passage words, of which at most one in eight doesn't match, if it is long enough."""
+    at = np.flatnonzero(np.isin(d, p))
+    if not len(at):
+        return None
+    d = d[at[0] : at[-1] + 1]  # no alignment begins or ends at a word the passage doesn't have
     while len(pairs := align(p, d)) >= LEAST - LEAST // ONE_IN:
         if best := longest_run([i for i, _ in pairs], len(p)):
             return best
