@@ -1,7 +1,8 @@
 """Mixing sources to target weights (soft-membership mixing).
 
 1. A classifier (multinomial naive Bayes over hashed words) is fitted on rows whose source is known and
-   predicts domain posteriors for those whose source isn't; a known source is a membership of one.
+   predicts domain posteriors for those whose source isn't; a known source is a membership of one. Naive Bayes is too sure of
+   long texts, so log odds are divided by a power of their length: the one of TEMPERATURES with the best likelihood on held-out rows.
 2. Distributed projected-gradient least squares fits a nonnegative rate per document so that the expected token
    totals of the domains meet the targets. Rates are bound by max_repeats; tokens outside of the listed sources are a domain with
    target zero. Documents of like membership and bound share their rate and are added up beforehand; every pass
@@ -32,6 +33,7 @@ from ..runtime import Scratch
 TOKENIZER = os.environ.get("SRCATLAS_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 TRAIN_ROWS = 200_000  # bound of the sample the classifier is fitted on
 FEATURES, ROUNDS, BUCKETS = 1 << 13, 60, 2048
+TEMPERATURES = [0.0, 0.25, 0.5, 0.75, 1.0]
 OTHER = "(other)"
 
 
@@ -49,7 +51,7 @@ def count_tokens(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoding(path)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "text": b["text"], "n_tokens": [len(enc.encode_ordinary(t)) for t in b["text"]]})
+            yield b.assign(n_tokens=[len(enc.encode_ordinary(t)) for t in b.pop("text")])
 
     return run
 
@@ -58,31 +60,45 @@ def tidy(c: Column) -> Column:
     return F.nullif(F.lower(F.btrim(c, F.lit(" \t\r\n"))), F.lit(""))
 
 
-def _posteriors(spark: SparkSession, counted: DataFrame, sources: list[str]) -> DataFrame:
-    """(doc_id, m) of the documents without a source: m is the membership in each of `sources`, the rest outside."""
+def _posteriors(spark: SparkSession, texts: DataFrame, sources: list[str]) -> DataFrame:
+    """(texts without text, m) of the rows without a source: m is the membership in each of `sources`, the rest outside.
+
+    texts (doc_id, source, text, ...). Fitted on at most TRAIN_ROWS rows with a source, of which a tenth is held out to set the temperature.
+    """
     from pyspark.ml.classification import NaiveBayes
     from pyspark.ml.feature import HashingTF, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
-    known = counted.filter("source IS NOT NULL")
-    label = F.coalesce(F.array_position(F.array(*map(F.lit, sources)), F.col("source")).cast("double"), F.lit(0.0))
-    label = F.when(label > 0, label - 1).otherwise(F.lit(float(len(sources))))
-    n = known.count()
+    known = texts.filter("source IS NOT NULL")
+    rest = [c for c in texts.columns if c != "text"]
+    listed = F.when(F.col("source").isin(*sources), F.col("source")).otherwise(OTHER) if sources else F.lit(OTHER)
+    counts = {r["s"]: r["n"] for r in known.groupBy(listed.alias("s")).agg(F.count("*").alias("n")).collect()}  # one row a listed source
+    n = sum(counts.values())
+    # The model's classes are those that have rows, numbered without gaps.
+    classes = sorted(counts)
+    label = F.array_position(F.array(*map(F.lit, classes)), listed).cast("double") - 1
     if not n:
-        return counted.filter("false").select("doc_id", F.lit(None).cast("array<double>").alias("m"))
-    part = min(1.0, TRAIN_ROWS / n)
-    train = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).withColumn("label", label)
+        return texts.filter("false").select(*rest, F.lit(None).cast("array<double>").alias("m"))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    # A class too small for the sample keeps its rows: each class may have as many as fall to it, or a hundred.
+    keep = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(int(min(1.0, max(TRAIN_ROWS / n, 100 / counts[c])) * 1_000_000)))])[listed]
+    sample = known.filter(draw < keep).withColumn("label", label).withColumn("held", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) == 0) & listed.isin(*[c for c in classes if counts[c] >= 50]))
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern="[^\\p{L}\\p{N}_]+", toLowercase=True)
     terms = HashingTF(inputCol="words", outputCol="features", numFeatures=FEATURES)
     ready = lambda d: terms.transform(words.transform(d))
-    model = NaiveBayes(smoothing=0.5).fit(ready(train))
-    raw = vector_to_array("rawPrediction")
-    scored = model.transform(ready(counted.filter("source IS NULL"))).select("doc_id", raw.alias("raw"), F.greatest(F.lit(1.0), F.sqrt(F.size("words").cast("double"))).alias("heat"))
-    top = scored.withColumn("raw", F.transform("raw", lambda x: F.exp((x - F.array_max("raw")) / F.col("heat"))))
-    total = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x)
-    share = F.transform("raw", lambda x: x / total)
-    # The model has as many classes as the highest label met; domains beyond are not among the documents.
-    return top.select("doc_id", F.slice(F.concat(share, F.array_repeat(F.lit(0.0), len(sources) + 1)), 1, len(sources)).alias("m"))
+    model = NaiveBayes(smoothing=0.5).fit(ready(sample.filter("NOT held")))
+    scored = lambda d: model.transform(ready(d)).withColumn("raw", vector_to_array("rawPrediction")).withColumn("n", F.greatest(F.lit(1.0), F.size("words").cast("double")))
+
+    def share(power: float) -> Column:
+        odds = F.transform("raw", lambda x: F.exp((x - F.array_max("raw")) / F.pow("n", F.lit(power))))
+        return F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda a, y: a + y))
+
+    told = scored(sample.filter("held")).select("label", *[share(p).alias(f"t{i}") for i, p in enumerate(TEMPERATURES)])
+    fit = told.agg(*[F.sum(F.log(F.greatest(F.lit(1e-12), F.get(f"t{i}", F.col("label").cast("int"))))).alias(f"t{i}") for i in range(len(TEMPERATURES))]).first()
+    power = max(range(len(TEMPERATURES)), key=lambda i: fit[i] if fit[i] is not None else -float(TEMPERATURES[i] != 0.5))
+    of = lambda s: F.coalesce(F.get("share", F.lit(classes.index(s))), F.lit(0.0)) if s in counts else F.lit(0.0)
+    m = F.array(*map(of, sources)) if sources else F.array().cast("array<double>")
+    return scored(texts.filter("source IS NULL")).withColumn("share", share(TEMPERATURES[power])).select(*rest, m.alias("m"))
 
 
 def fit_rates(atoms: DataFrame, goal: np.ndarray, capacity: np.ndarray, rounds: int = ROUNDS) -> list[list[float]]:
@@ -91,19 +107,18 @@ def fit_rates(atoms: DataFrame, goal: np.ndarray, capacity: np.ndarray, rounds:
     atoms (m array<double>, cap double, n_tokens long): documents of like membership, added up. rate(k+1) =
     clip(rate(k) - m . step(k), 0, cap), so no state is written between passes.
     """
-    spark = atoms.sparkSession
     steps: list[list[float]] = []
     scale = np.maximum(capacity, 1.0)
     size = len(goal)
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(np.array(steps).reshape(-1, size))
+        sent = np.array(steps).reshape(-1, size)  # a few kilobytes
 
         def totals(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             out = np.zeros(size)
             for b in batches:
                 if len(b):
                     m = np.stack(b["m"].to_numpy())
-                    r = rates(m, b["cap"].to_numpy(float), sent.value)
+                    r = rates(m, b["cap"].to_numpy(float), sent)
                     out += (m * (r * b["n_tokens"].to_numpy(float))[:, None]).sum(0)
             yield pd.DataFrame({"domain": np.arange(size), "total": out})
 
@@ -130,7 +145,7 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, tokenizer
 
     documents (doc_id, text, source), targets (source, target_share, max_repeats). Sources compare without
     case and surrounding blanks. Null and empty texts have no tokens and aren't chosen; a null source is soft. Repeated
-    rows of one doc_id count once (the longest text). Null or negative shares count as 0, null max_repeats as 1.
+    rows of one doc_id count once (the longest text, then the greatest MD5, then the greatest source); texts aren't exchanged. Null or negative shares count as 0, null max_repeats as 1.
     Empty tables give empty results.
     """
     scratch = Scratch(spark, "mixing")
@@ -138,11 +153,15 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, tokenizer
     goals = goals.filter("source IS NOT NULL").groupBy("source").agg(F.sum("share").alias("share"), F.max("most").alias("most")).orderBy("source").collect()  # a fixed table
     sources = [g["source"] for g in goals]
     docs = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", tidy(F.col("source")).alias("source"), "text")
-    docs = docs.groupBy("doc_id").agg(F.max_by(F.struct("source", "text"), F.length("text")).alias("d")).select("doc_id", "d.source", "d.text")
-    counted, _ = scratch.cut(docs.mapInPandas(count_tokens(tokenizer), "doc_id long, source string, text string, n_tokens long").filter("n_tokens > 0"))
+    docs = docs.withColumns({"chars": F.length("text"), "md5": F.md5("text")})
+    raw, _ = scratch.cut(docs.mapInPandas(count_tokens(tokenizer), "doc_id long, source string, chars int, md5 string, n_tokens long").filter("n_tokens > 0"))
+    version = F.struct("chars", "md5", F.coalesce("source", F.lit("")).alias("source"))
+    counted, _ = scratch.cut(raw.groupBy("doc_id").agg(F.max_by(F.struct("source", "md5", "n_tokens"), version).alias("d")).select("doc_id", "d.*"))
     k = len(sources)
     hard = F.array(*[F.when(F.col("source") == s, 1.0).otherwise(0.0) for s in sources], F.when(F.col("source").isin(*sources), 0.0).otherwise(1.0)) if k else F.array(F.lit(1.0))
-    soft = _posteriors(spark, counted, sources)
+    # Scored row by row on the texts as they lie; then only rows of the version that counts stay.
+    guessed = _posteriors(spark, docs.select("doc_id", "source", "md5", "text"), sources).select("doc_id", "md5", "m")
+    soft = counted.filter("source IS NULL").select("doc_id", "md5").join(guessed, ["doc_id", "md5"]).dropDuplicates(["doc_id"])
     rest = lambda m: F.greatest(F.lit(0.0), 1.0 - F.aggregate(m, F.lit(0.0), lambda a, x: a + x))
     softened = soft.select("doc_id", F.concat("m", F.array(rest(F.col("m")))).alias("m"))
     most = [float(g["most"]) for g in goals]
@@ -161,17 +180,16 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, tokenizer
     share = share / share.sum() if share.sum() else share
     total = min((sure[s] * c / w for s, c, w in zip(sources, most, share) if w > 0), default=0.0)
     goal = np.append(share * total, 0.0)
-    steps = fit_rates(atoms, goal, have)
-    sent = spark.sparkContext.broadcast(np.array(steps).reshape(-1, k + 1))
+    steps = np.array(fit_rates(atoms, goal, have)).reshape(-1, k + 1)
 
     def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            r = rates(np.stack(b["m"].to_numpy()), b["cap"].to_numpy(float), sent.value) if len(b) else np.zeros(0)
-            yield pd.DataFrame({"m": b["m"], "cap": b["cap"], "rate": np.round(r, 9)})
+            m = np.stack(b["m"].to_numpy()) if len(b) else np.zeros((0, k + 1))
+            rate = np.round(rates(m, b["cap"].to_numpy(float), steps), 9)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "domain": m.argmax(1).astype(np.int32), "n_tokens": b["n_tokens"], "rate": rate})
 
-    known = atoms.mapInPandas(rated, "m array<double>, cap double, rate double")
-    domain = F.array_position("m", F.array_max("m")).cast("int") - 1
-    placed = members.join(known, ["m", "cap"]).filter("rate > 0").select("doc_id", "source", domain.alias("domain"), "n_tokens", "rate")
+    # A rate follows from a row's own membership and bound: no join with the atoms.
+    placed = members.select("doc_id", "n_tokens", "m", "cap").mapInPandas(rated, "doc_id long, domain int, n_tokens long, rate double").filter("rate > 0")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(20240607)), F.lit(1 << 40)).cast("double") / float(1 << 40)
     placed, _ = scratch.cut(placed.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.floor("rate")).withColumn("u", draw))
     # Thresholds on the hash: exact to a bucket, then to a bucket of the bucket.
