@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP, LEAST, MASK = 2000, 200, 600, 0xFF
@@ -83,9 +83,9 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEA
     return out
 
 
-def _pieces(text: str, kind: str, item: str, rows: list, with_text: bool) -> None:
+def _pieces(text: str, kind: str, item: str, rows: list) -> None:
     for k, (a, b) in enumerate(cuts(text)):
-        rows.append((kind, item, k, a, b, text[a:b] if with_text else None))
+        rows.append((kind, item, k, a, b, text[a:b]))
 
 
 _OUT = "item_kind string, item_id string, part_no int, char_start long, char_end long, text string"
@@ -110,35 +110,29 @@ def _line_starts(content: str) -> list[int]:
     return out
 
 
-def _split_functions(with_text: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows: list = []
-            for content, ids, firsts, lasts in zip(b["content"], b["ids"], b["firsts"], b["lasts"]):
-                starts = _line_starts(content)
-                for item, first, last in zip(ids, firsts, lasts):
-                    if item is None or first is None or last is None or first != first or last != last:
-                        continue
-                    text = function_text(content, starts, int(first), int(last))
-                    if len(text) > LIMIT:
-                        _pieces(text, "function", item, rows, with_text)
-            yield pd.DataFrame(rows, columns=_COLS)
+def _split_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows: list = []
+        for content, ids, firsts, lasts in zip(b["content"], b["ids"], b["firsts"], b["lasts"]):
+            starts = _line_starts(content)
+            for item, first, last in zip(ids, firsts, lasts):
+                if item is None or first is None or last is None or first != first or last != last:
+                    continue
+                text = function_text(content, starts, int(first), int(last))
+                if len(text) > LIMIT:
+                    _pieces(text, "function", item, rows)
+        yield pd.DataFrame(rows, columns=_COLS)
 
-    return run
 
+def _split_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows: list = []
+        for item, text in zip(b["id"], b["text"]):
+            _pieces(text, "chunk", item, rows)
+        yield pd.DataFrame(rows, columns=_COLS)
 
-def _split_chunks(with_text: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows: list = []
-            for item, text in zip(b["id"], b["text"]):
-                _pieces(text, "chunk", item, rows, with_text)
-            yield pd.DataFrame(rows, columns=_COLS)
 
-    return run
-
-
-def split_items(chunks: DataFrame, files: DataFrame, with_text: bool = True) -> DataFrame:
+def split_items(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """The pieces of every item longer than the limit: chunks.text, and the lines of each function.
 
     Null ids, texts, contents and line ranges are no items; a range past the end stops there; repeated
@@ -149,10 +143,8 @@ def split_items(chunks: DataFrame, files: DataFrame, with_text: bool = True) ->
     could = F.filter("functions", lambda f: f["line_end"] >= f["line_start"])
     long_files = files.filter(F.length("content") > LIMIT).select("content", could.alias("f")).filter(F.size("f") > 0)
     long_files = long_files.select("content", F.col("f.id").alias("ids"), F.col("f.line_start").alias("firsts"), F.col("f.line_end").alias("lasts"))
-    both = long_chunks.mapInPandas(_split_chunks(with_text), _OUT).unionAll(long_files.mapInPandas(_split_functions(with_text), _OUT))
+    both = long_chunks.mapInPandas(_split_chunks, _OUT).unionAll(long_files.mapInPandas(_split_functions, _OUT))
     keys = ["item_kind", "item_id", "part_no", "char_start", "char_end"]
-    if not with_text:
-        return both.drop("text").distinct()
     return both.withColumn("h", F.xxhash64("text")).dropDuplicates([*keys, "h"]).drop("h")
 
 
@@ -161,11 +153,32 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every oversized item, from its pieces: the first piece of each item names it."""
-    pieces = split_items(*_tables(spark, sf_dir), with_text=False)
-    return pieces.filter("part_no = 0").select("item_kind", "item_id").distinct()
+    """Every oversized item, from its pieces as `p2_pieces` gives them: an item in two pieces or more."""
+    pieces = split_items(*_tables(spark, sf_dir))
+    return pieces.filter("part_no = 1").select("item_kind", "item_id").distinct()
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces with their texts."""
     return split_items(*_tables(spark, sf_dir))
+
+
+def quality(pieces: DataFrame) -> DataFrame:
+    """What a set of pieces is worth, by item_kind: pieces, the longest and the mean one, the least and greatest overlap of neighbours, breaks
+    (neighbours that leave something out or come in another order), and the share of cuts at a line or sentence end. Ids with two texts are left out of the breaks."""
+    texts = pieces.filter("part_no = 0").groupBy("item_kind", "item_id").agg((F.count("*") > 1).alias("twice"))
+    order = Window.partitionBy("item_kind", "item_id").orderBy("part_no", "char_start", "char_end")
+    cut = F.lead("part_no").over(order) > F.col("part_no")
+    each = pieces.join(texts, ["item_kind", "item_id"]).select(
+        "item_kind", "item_id", "twice", F.length("text").alias("n"), cut.alias("cut"),
+        F.when(cut & ~F.col("twice"), F.col("char_end") - F.lead("char_start").over(order)).alias("overlap"),
+        (F.length("text") != F.col("char_end") - F.col("char_start")).alias("wrong"),
+        F.col("text").rlike(r"(?:\n|[.!?;\u3002] )\z").alias("natural"),
+    )
+    broken = F.col("wrong") | F.coalesce(F.col("overlap") != OVERLAP, F.lit(False))
+    return each.groupBy("item_kind").agg(F.count("*").alias("n_pieces"), F.max("n").alias("longest"), F.avg("n").alias("mean"), F.min("overlap").alias("least_overlap"), F.max("overlap").alias("greatest_overlap"), F.count_if(broken).alias("breaks"), (F.count_if(F.col("cut") & F.col("natural")) / F.greatest(F.lit(1), F.count_if("cut"))).alias("natural_cuts"))
+
+
+def p2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, overlap, cover and naturalness over all pieces."""
+    return quality(p2_pieces(spark, sf_dir))

@@ -6,6 +6,7 @@ QUERIES = {
     "p1_found": groups.p1_found,
     "p2_found": pieces.p2_found,
     "p2_pieces": pieces.p2_pieces,
+    "p2_quality": pieces.p2_quality,
     "p3_found": handwritten.p3_found,
     "p3_reasons": handwritten.p3_reasons,
     "p4_found": syntax.p4_found,

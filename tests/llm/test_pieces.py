@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from srcatlas.llm.pieces import LIMIT, OVERLAP, cuts, function_text, _line_starts, split_items
+from srcatlas.llm.pieces import LIMIT, OVERLAP, cuts, function_text, _line_starts, quality, split_items
 
 
 @settings(max_examples=60, deadline=None)
@@ -46,5 +46,7 @@ def test_items(spark):
     got = split_items(chunks, files).collect()
     assert {(r["item_kind"], r["item_id"]) for r in got} == {("chunk", "c1"), ("function", "f1"), ("function", "f4")}
     assert sum(r["item_id"] == "c1" for r in got) == 2 and all(len(r["text"]) <= 2000 for r in got)
+    q = {r["item_kind"]: r for r in quality(split_items(chunks, files)).collect()}
+    assert q["function"]["natural_cuts"] == 1 and all((r["breaks"], r["least_overlap"], r["greatest_overlap"]) == (0, OVERLAP, OVERLAP) and r["longest"] <= LIMIT for r in q.values())
     empty = split_items(chunks.limit(0), files.limit(0))
-    assert empty.count() == 0
+    assert empty.count() == 0 and quality(empty).count() == 0
