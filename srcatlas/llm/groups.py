@@ -27,13 +27,14 @@ def tidy(c: Column) -> Column:
 
 
 def _collapse(scratch: Scratch, parents: DataFrame) -> tuple[DataFrame, str]:
-    """Pointer jumping on (v, p) with p < v, until every p is a root."""
+    """Pointer jumping on (v, p) with p < v, two jumps a written round, until every p is a root."""
     now, path = scratch.cut(parents)
     while True:
-        up = now.select(F.col("v").alias("p"), F.col("p").alias("g"))
-        nxt, npath = scratch.cut(now.join(up, "p", "left").select("v", F.coalesce("g", "p").alias("p"), F.col("g").isNotNull().alias("moved")))
+        up = lambda a, b: now.select(F.col("v").alias(a), F.col("p").alias(b))  # noqa: B023, E731
+        two = now.join(up("p", "g"), "p", "left").join(up("g", "gg"), "g", "left")
+        nxt, npath = scratch.cut(two.select("v", F.coalesce("gg", "g", "p").alias("p"), F.col("gg").isNotNull().alias("moved")))
         scratch.drop(path)
-        moved = nxt.filter("moved").limit(1).count()
+        moved = not nxt.filter("moved").isEmpty()
         now, path = nxt.drop("moved"), npath
         if not moved:
             return now, path
@@ -48,7 +49,7 @@ def components(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, Scratc
     clean = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     live, live_path = scratch.cut(clean)
     total, total_path = None, None
-    while live.limit(1).count():
+    while not live.isEmpty():
         both = live.select(F.col("b").alias("v"), F.col("a").alias("u")).unionAll(live.select(F.col("a").alias("v"), F.col("b").alias("u")))
         lower = both.groupBy("v").agg(F.min("u").alias("p")).filter("p < v")
         forest, forest_path = _collapse(scratch, lower)

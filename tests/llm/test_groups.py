@@ -35,3 +35,17 @@ def test_empty(spark):
     pairs, lists = spark.createDataFrame([], "a string, b string"), spark.createDataFrame([], "members array<string>")
     assert group_ids(spark, none, pairs, lists).count() == 0
     assert group_ids(spark, spark.createDataFrame([("x",)], "id string"), pairs, lists).collect()[0]["group_id"] == "x"
+
+
+def test_giant_component_and_hub(spark):
+    """A path, a hub and a list that hold most of all nodes end in one group, with few rounds."""
+    n = 3000
+    ids = spark.range(n + 50).selectExpr("format_string('f%05d', id) AS id")
+    f = lambda i: f"f{i:05d}"
+    path = [(f(i), f(i + 1)) for i in range(1000, 2000)]
+    hub = [(f(999), f(i)) for i in range(2000, 2900)] * 2
+    pairs = spark.createDataFrame([*path, *hub], "a string, b string")
+    lists = spark.createDataFrame([([f(i) for i in range(1, 1001)],), ([f(2899), f(2950)],)], "members array<string>")
+    got = {r["file_id"]: r["group_id"] for r in group_ids(spark, ids, pairs, lists).collect()}
+    joined = set(range(1, 2900)) | {2950}
+    assert got == {f(i): f(1) if i in joined else f(i) for i in range(n + 50)}
