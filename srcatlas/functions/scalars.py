@@ -48,6 +48,12 @@ def round_half_up(x: Column, digits: int = 1) -> Column:
     return F.floor(x * F.lit(float(10**digits)) + 0.5) / F.lit(float(10**digits))
 
 
+def head_bytes(text: Column, n: int) -> Column:
+    """The first n bytes of UTF-8; a character cut in two becomes one replacement character."""
+    head = F.substring(F.encode(text, "utf-8"), 1, n)
+    return F.make_valid_utf8(head.cast("string"))
+
+
 def any_match(c: Column, patterns: list[str]) -> Column:
     return c.rlike("|".join(f"(?:{p})" for p in patterns))
 
@@ -234,6 +240,13 @@ def retry_ms(text: Column) -> Column:
     return minutes * 60000 + seconds * 1000
 
 
+def retry_wait(after: Column, reset_tokens: Column, reset_requests: Column) -> Column:
+    """Milliseconds to wait by the largest of three reply headers; null where none tells."""
+    seconds = F.coalesce(F.nullif(F.regexp_extract(F.coalesce(after, F.lit("")), r"^\s*(\d+\.?\d*)", 1), F.lit("")).cast("double"), F.lit(0.0))
+    longest = F.greatest(seconds * 1000, F.coalesce(retry_ms(reset_tokens), F.lit(0.0)), F.coalesce(retry_ms(reset_requests), F.lit(0.0)))
+    return F.when(longest > 0, longest)
+
+
 def truncate_head_tail(text: Column, most: int) -> Column:
     head, tail = int(most * 0.7), int(most * 0.25)
     cut = F.concat(F.substring(text, 1, head), F.lit("\n... [truncated "), (F.length(text) - (head + tail)).cast("string"), F.lit(" chars] ...\n"), F.right(text, F.lit(tail)))

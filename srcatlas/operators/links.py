@@ -38,9 +38,18 @@ def target_of(path: Column, source: Column) -> Column:
     return S.normalize_path(F.concat(S.dirname(path), F.lit("/"), source))
 
 
-def resolve_files(imports: DataFrame, files: DataFrame, exts: list[str] = rules.CODE_EXTS) -> DataFrame:
-    """Imports of kind file with the file they name; those that name none are dropped."""
+def folders_of(files: DataFrame) -> DataFrame:
+    """(repo_id, target): every folder above a file."""
+    parts = F.split("path", "/")
+    each = files.filter("path LIKE '%/%'").select("repo_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/"))).alias("target"))
+    return each.distinct()
+
+
+def resolve_files(imports: DataFrame, files: DataFrame, exts: list[str] = rules.CODE_EXTS, folders: bool = False) -> DataFrame:
+    """Imports of kind file with the file they name; those that name none are dropped. folders: those that name a folder are, too, whatever files lie beside it."""
     asked = imports.filter("kind = 'file'").withColumn("target", target_of(F.col("path"), F.col("source")))
+    if folders:
+        asked = asked.join(folders_of(files), ["repo_id", "target"], "left_anti")
     hit = asked.join(answers(files, exts), ["repo_id", "target"])
     return hit.groupBy("repo_id", "from_id", "imp_ord", "source", "line").agg(F.min_by("to_id", F.struct("rank", "to_id")).alias("to_id"))
 
@@ -59,7 +68,7 @@ def resolve_packages(imports: DataFrame, packages: DataFrame) -> DataFrame:
 
 def direct_links(resolved: DataFrame) -> DataFrame:
     w = rules.WEIGHTS["direct"]
-    g = resolved.groupBy("repo_id", "from_id", "to_id").agg(F.count("*").alias("frequency"), F.min_by("line", "imp_ord").alias("line"))
+    g = resolved.groupBy("repo_id", "from_id", "to_id").agg(F.count("*").alias("frequency"), F.min_by("line", "imp_ord").alias("line"), F.min("imp_ord").cast("long").alias("first_ord"))
     return g.withColumn("weight", F.col("frequency") * w)
 
 

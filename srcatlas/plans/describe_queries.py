@@ -165,6 +165,17 @@ def parse_response(spark, sf_dir):
     return p.select("doc_id", "p.description", F.array_join("p.tags", ",").alias("tags"))
 
 
+@query("SELECT event_id, CASE WHEN ms > 0 THEN ms END AS ms FROM (SELECT event_id, greatest(CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 50 AS DOUBLE) * 1000 ELSE 0 END, CASE WHEN event_id % 3 = 0 THEN (event_id % 7) * 60000.0 + (event_id % 60 + 0.5) * 1000 ELSE 0 END, CASE WHEN event_id % 5 = 0 THEN (event_id % 90 + 0.25) * 1000 ELSE 0 END)::DOUBLE AS ms FROM events)")
+def retry_wait(spark, sf_dir):
+    """The longest wait of three headers, any of which may be missing."""
+    e = F.col("event_id")
+    rest = lambda n: F.pmod(e, F.lit(n)).cast("string")
+    after = F.when(F.pmod(e, F.lit(4)) == 0, rest(50))
+    tokens = F.when(F.pmod(e, F.lit(3)) == 0, F.concat(rest(7), F.lit("m"), rest(60), F.lit(".5s")))
+    requests = F.when(F.pmod(e, F.lit(5)) == 0, F.concat(rest(90), F.lit(".25s")))
+    return read(spark, sf_dir, "events").select("event_id", S.retry_wait(after, tokens, requests).alias("ms"))
+
+
 @query("SELECT id, part_no, lag(left(text, 80)) OVER (PARTITION BY file_id ORDER BY part_no, id) AS before FROM (SELECT DISTINCT id, file_id, part_no, text FROM chunks)")
 def chunk_prev_context(spark, sf_dir):
     order = Window.partitionBy("file_id").orderBy("part_no", "id")

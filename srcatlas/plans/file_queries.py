@@ -146,9 +146,13 @@ def progress_bar(spark, sf_dir):
     return g.select("repo_id", S.progress_bar(F.col("done"), F.col("total")).alias("bar"))
 
 
-@query(sql("SELECT id AS file_id, left(content, 500) AS snippet FROM f WHERE content IS NOT NULL"))
+_KEPT = "list_max(list_filter(range(0, 501), lambda i: strlen(left(content, i)) <= 500))"
+
+
+@query(sql(f"SELECT id AS file_id, left(content, k) || CASE WHEN strlen(left(content, k)) < 500 AND strlen(content) > strlen(left(content, k)) THEN '\ufffd' ELSE '' END AS snippet FROM (SELECT id, content, {_KEPT} AS k FROM f WHERE content IS NOT NULL)"))
 def snippet(spark, sf_dir):
-    return files(spark, sf_dir, snippet=F.substring("content", 1, 500)).filter("snippet IS NOT NULL").select(F.col("id").alias("file_id"), "snippet")
+    """The first 500 bytes; what is left of a character that doesn't fit is a replacement character."""
+    return files(spark, sf_dir, snippet=S.head_bytes(F.col("content"), 500)).filter("snippet IS NOT NULL").select(F.col("id").alias("file_id"), "snippet")
 
 
 @query("SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'scan', ''))) // 4 AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
@@ -328,6 +332,26 @@ def project_tree(spark, sf_dir):
     return df.groupBy("repo_id", F.col("depth").cast("long").alias("depth"), F.array_join(F.slice(segs, F.lit(1), F.col("depth")), "/").alias("dir")).agg(F.count("*").alias("n_files"))
 
 
+@query(sql("""SELECT repo_id, array_to_string(string_split(path, '/')[1:d], '/') AS path, repeat('  ', d - 1) || '|- ' || string_split(path, '/')[d] || '/' AS line FROM f, UNNEST(range(1, len(string_split(path, '/')))) u(d) WHERE path IS NOT NULL
+UNION SELECT repo_id, path, repeat('  ', len(string_split(path, '/')) - 1) || '|- ' || regexp_extract(path, '[^/]*$') || ' (' || coalesce(size_bytes, 0) || 'b, ' || coalesce(len(functions), 0) || ' fn, ' || coalesce(len(imports), 0) || ' imports)' FROM f WHERE path IS NOT NULL"""))
+def project_tree_lines(spark, sf_dir):
+    """The tree as text, one row a line; lines of a repository in the order of their paths."""
+    segs, n = F.split("path", "/"), lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("string")
+    fs = files(spark, sf_dir, "repo_id", "path", "size_bytes", n_functions=n("functions"), n_imports=n("imports")).filter("path IS NOT NULL")
+    dirs = fs.filter("path LIKE '%/%'").withColumn("d", F.explode(F.sequence(F.lit(1), F.size(segs) - 1)))
+    pad = lambda d: F.concat(F.repeat(F.lit("  "), d), F.lit("|- "))
+    a = dirs.select("repo_id", F.array_join(F.slice(segs, F.lit(1), F.col("d")), "/").alias("path"), F.concat(pad(F.col("d") - 1), F.get(segs, F.col("d") - 1), F.lit("/")).alias("line")).distinct()
+    about = F.concat(F.lit(" ("), F.coalesce("size_bytes", F.lit(0)).cast("string"), F.lit("b, "), "n_functions", F.lit(" fn, "), "n_imports", F.lit(" imports)"))
+    return a.unionAll(fs.select("repo_id", "path", F.concat(pad(F.size(segs) - 1), _name(), about))).distinct()
+
+
+@query(sql("SELECT id AS file_id, coalesce(regexp_matches(path, '(^|/)(layout|template)\\.[^./]+$'), false) AS is_layout, coalesce(regexp_matches(path, '(^|/)(page|index|route)\\.[^./]+$'), false) AS is_page FROM f"))
+def route_roles(spark, sf_dir):
+    stem = F.regexp_extract("path", r"(?:^|/)([^/]+)\.[^./]+$", 1)
+    one = lambda *names: F.coalesce(stem.isin(*names), F.lit(False))
+    return files(spark, sf_dir, "path").select(F.col("id").alias("file_id"), one("layout", "template").alias("is_layout"), one("page", "index", "route").alias("is_page"))
+
+
 @query(sql("SELECT id AS file_id, path, content FROM f WHERE path = (SELECT min(path) FROM f WHERE type = 'code')"))
 def get_file(spark, sf_dir):
     """The files at the first path: their ids are found without contents, then only their contents are read."""

@@ -9,7 +9,7 @@ from ..functions import rules
 from ..functions import scalars as S
 from ..operators import graph as G
 from ..operators import links as L
-from ..runtime import Scratch
+from ..runtime import Scratch, ordinals
 from .base import F_SQL, files, read, sql
 
 QUERIES: dict = {}
@@ -39,7 +39,7 @@ _FSVALUES = ", ".join(f"('{c}', {i})" for i, c in enumerate(["", *rules.FS_EXTS,
 IMP = "imp AS (SELECT repo_id, id AS from_id, path, unnest(range(len(imports))) AS imp_ord, unnest(imports) AS i FROM f)"
 TGT = f"tgt AS (SELECT *, i.source AS source, i.line_imported AS line, {_norm(_DIR + chr(32) + '|| ' + chr(39) + '/' + chr(39) + ' || i.source')} AS target FROM imp WHERE i.type = 'file')".replace(_DIR + " ||", f"({_DIR}) ||")
 RES = f"res AS (SELECT t.repo_id, t.from_id, t.imp_ord, t.source, t.line, arg_min(g.id, c.rank) AS to_id FROM tgt t, (VALUES {_VALUES}) c(suffix, rank), f g WHERE g.repo_id = t.repo_id AND g.path = t.target || c.suffix GROUP BY ALL)"
-DIR = "dir AS (SELECT repo_id, from_id, to_id, count(*) AS frequency, arg_min(line, imp_ord) AS line, CAST(count(*) * 100 AS BIGINT) AS weight FROM res GROUP BY 1, 2, 3)"
+DIR = "dir AS (SELECT repo_id, from_id, to_id, count(*) AS frequency, arg_min(line, imp_ord) AS line, min(imp_ord) AS first_ord, CAST(count(*) * 100 AS BIGINT) AS weight FROM res GROUP BY 1, 2, 3)"
 CHAIN = (IMP, TGT, RES, DIR)
 _BASEPKG = "CASE WHEN starts_with(source, '@') THEN CASE WHEN contains(source, '/') THEN array_to_string(string_split(source, '/')[1:2], '/') END ELSE string_split(source, '/')[1] END"
 PKG = f"pkg AS (SELECT repo_id, from_id, imp_ord, source, line, coalesce(e.id, b.id) AS package_id FROM (SELECT *, i.source AS source, i.line_imported AS line, CASE WHEN starts_with(i.source, '@') THEN CASE WHEN contains(i.source, '/') THEN array_to_string(string_split(i.source, '/')[1:2], '/') END ELSE string_split(i.source, '/')[1] END AS base FROM imp WHERE i.type = 'package') t LEFT JOIN (SELECT name, max(id) AS id FROM packages GROUP BY 1) e ON e.name = t.source LEFT JOIN (SELECT name, max(id) AS id FROM packages GROUP BY 1) b ON b.name = t.base WHERE coalesce(e.id, b.id) IS NOT NULL)"
@@ -72,10 +72,14 @@ def resolve_imports(spark, sf_dir):
     return L.resolve_files(imps, fs).select("from_id", F.col("imp_ord").cast("long"), "source", "line", "to_id")
 
 
-@query(sql("SELECT from_id, imp_ord, to_id FROM res", IMP, TGT, RES.replace(_VALUES, _FSVALUES).replace("FROM tgt t", "FROM (SELECT * FROM tgt WHERE starts_with(source, './') OR starts_with(source, '../')) t")))
+_DIRS = "dirs AS (SELECT DISTINCT repo_id, array_to_string(string_split(path, '/')[1:d], '/') AS target FROM f, UNNEST(range(1, len(string_split(path, '/')))) u(d) WHERE path IS NOT NULL)"
+
+
+@query(sql("SELECT from_id, imp_ord, to_id FROM res", IMP, TGT, _DIRS, RES.replace(_VALUES, _FSVALUES).replace("FROM tgt t", "FROM (SELECT * FROM tgt WHERE (starts_with(source, './') OR starts_with(source, '../')) AND NOT EXISTS (SELECT 1 FROM dirs WHERE dirs.repo_id = tgt.repo_id AND dirs.target = tgt.target)) t")))
 def resolve_imports_fs(spark, sf_dir):
+    """As a file system answers: a folder of the very name is found first and is no file."""
     fs, imps = _imports(spark, sf_dir)
-    return L.resolve_files(imps.filter(F.col("source").rlike(r"^\.\.?/")), fs, rules.FS_EXTS).select("from_id", F.col("imp_ord").cast("long"), "to_id")
+    return L.resolve_files(imps.filter(F.col("source").rlike(r"^\.\.?/")), fs, rules.FS_EXTS, folders=True).select("from_id", F.col("imp_ord").cast("long"), "to_id")
 
 
 @query(sql("SELECT from_id, imp_ord, source, package_id FROM pkg", IMP, PKG))
@@ -278,8 +282,10 @@ def file_importance(spark, sf_dir):
     return file_ranks(spark, files(spark, sf_dir, "repo_id").select("repo_id", "id"), _file_links(spark, sf_dir)).select("id", S.round_half_up(F.col("raw"), 4).alias("raw"), "score")
 
 
-_SCC = "sreach(s, t) AS (SELECT from_id, to_id FROM dir UNION SELECT r.s, d.to_id FROM sreach r JOIN dir d ON d.from_id = r.t), scc AS (SELECT x.s AS id, least(x.s, min(x.t)) AS scc, count(*) + CASE WHEN bool_or(x.t = x.s) THEN 0 ELSE 1 END AS size FROM sreach x JOIN sreach y ON y.s = x.t AND y.t = x.s GROUP BY 1 HAVING count(*) FILTER (x.t <> x.s) > 0)"
-_CYC = "cyc AS (SELECT id, scc FROM scc UNION SELECT from_id, from_id FROM dir WHERE from_id = to_id AND from_id NOT IN (SELECT id FROM scc))"
+_FD = "fd AS (SELECT from_id, to_id, 'direct' AS type, weight, line, first_ord FROM dir UNION ALL SELECT from_id, to_id, type, weight, NULL, NULL FROM rt)"
+_SREACH = "sreach(s, t) AS (SELECT from_id, to_id FROM fd UNION SELECT r.s, d.to_id FROM sreach r JOIN fd d ON d.from_id = r.t)"
+_SCC = f"{ROUTE}, {_FD}, {_SREACH}, scc AS (SELECT x.s AS id, least(x.s, min(x.t)) AS scc, count(*) + CASE WHEN bool_or(x.t = x.s) THEN 0 ELSE 1 END AS size FROM sreach x JOIN sreach y ON y.s = x.t AND y.t = x.s GROUP BY 1 HAVING count(*) FILTER (x.t <> x.s) > 0)"
+_CYC = "cyc AS (SELECT id, scc FROM scc UNION SELECT from_id, from_id FROM fd WHERE from_id = to_id AND from_id NOT IN (SELECT id FROM scc))"
 
 
 @query(
@@ -290,7 +296,126 @@ _CYC = "cyc AS (SELECT id, scc FROM scc UNION SELECT from_id, from_id FROM dir W
 FROM f LEFT JOIN (SELECT g.repo_id, count(*) AS n, count_if(alln.type <> 'indirect' AND to_id IS NOT NULL) AS d FROM alln JOIN f g ON g.id = from_id GROUP BY 1) e ON e.repo_id IS NOT DISTINCT FROM f.repo_id
 LEFT JOIN (SELECT g.repo_id, count(DISTINCT scc) AS n FROM cyc JOIN f g ON g.id = cyc.id GROUP BY 1) c ON c.repo_id IS NOT DISTINCT FROM f.repo_id GROUP BY 1""",
         *EVERY,
-        _SCC,
+        _SCC.replace(ROUTE + ", ", ""),
+        _CYC,
+    ).replace("WITH", "WITH RECURSIVE", 1)
+)
+def statistics(spark, sf_dir):
+    """Counts, density of direct and route links, average importance and the most important file (of equals the first) of each repository; files without one form a group."""
+    fs = files(spark, sf_dir, "repo_id", "functions", "importance_score")
+    of = files(spark, sf_dir, "repo_id").select(F.col("id").alias("from_id"), "repo_id")
+    inner = (F.col("type") != "indirect") & F.col("to_id").isNotNull()
+    links = _all(spark, sf_dir).join(of, "from_id").groupBy(F.col("repo_id").alias("_l")).agg(F.count("*").alias("total_connections"), F.count_if(inner).alias("inner"))
+    circular = _cyclic(spark, sf_dir)[1].join(of.withColumnRenamed("from_id", "id"), "id").groupBy(F.col("repo_id").alias("_c")).agg(F.countDistinct("scc").alias("circular_count"))
+    score = F.coalesce("importance_score", F.lit(0.0))
+    functions = F.greatest(F.coalesce(F.size("functions"), F.lit(0)), F.lit(0))
+    g = fs.groupBy("repo_id").agg(F.count("*").alias("total_files"), F.sum(functions).alias("total_functions"), F.sum(score.cast("decimal(18,6)")).alias("points"), F.min_by("id", F.struct((-score).alias("s"), "id")).alias("most_important"))
+    g = g.join(links, F.col("repo_id").eqNullSafe(F.col("_l")), "left").join(circular, F.col("repo_id").eqNullSafe(F.col("_c")), "left").fillna(0, ["total_connections", "inner", "circular_count"])
+    pairs = F.col("total_files") * (F.col("total_files") - 1)
+    density = F.when(F.col("total_files") > 1, S.round_half_up(F.col("inner").cast("double") / pairs, 4)).otherwise(0.0)
+    average = S.round_half_up(F.col("points").cast("double") / F.col("total_files"), 2)
+    return g.select("repo_id", "total_files", "total_functions", "total_connections", "circular_count", density.alias("network_density"), average.alias("average_importance"), "most_important")
+
+
+_T = lambda c: f"lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13)))"
+LK = f"lk AS (SELECT id, any_value(repo_id) AS repo_id, any_value({_T('from_file_id')}) AS a, any_value({_T('to_file_id')}) AS b, any_value(to_package_id) AS p, any_value(type) AS type, any_value(frequency) AS frequency, any_value(weight) AS weight FROM links GROUP BY id)"
+
+
+def stored_links(spark, sf_dir):
+    """The stored links, each id once, ends tidied. Repeated rows of a link are alike."""
+    ends = lambda c: F.lower(F.btrim(c, F.lit(" \t\r\n")))
+    df = read(spark, sf_dir, "links").select("id", "repo_id", ends(F.col("from_file_id")).alias("a"), ends(F.col("to_file_id")).alias("b"), F.col("to_package_id").alias("p"), "type", "frequency", "weight")
+    return df.dropDuplicates(["id"])
+
+
+@query(sql("SELECT id, a, b FROM lk WHERE a IN (SELECT id FROM f) AND b IN (SELECT id FROM f)", LK))
+def drop_dangling_links(spark, sf_dir):
+    ids = files(spark, sf_dir).select("id")
+    lk = stored_links(spark, sf_dir).select("id", "a", "b")
+    return lk.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("id", "a", "b")
+
+
+@query(sql("SELECT id, weight FROM lk ORDER BY weight DESC, id LIMIT 100", LK))
+def edge_topk(spark, sf_dir):
+    return stored_links(spark, sf_dir).orderBy(F.desc_nulls_last("weight"), "id").limit(100).select("id", "weight")
+
+
+@query(sql("SELECT DISTINCT x AS id FROM (SELECT a AS x, b AS y FROM lk UNION ALL SELECT b, a FROM lk) WHERE y = (SELECT min(a) FROM lk WHERE type = 'direct' AND b IS NOT NULL) AND x IS NOT NULL UNION SELECT min(a) FROM lk WHERE type = 'direct' AND b IS NOT NULL", LK))
+def neighborhood(spark, sf_dir):
+    lk = stored_links(spark, sf_dir)
+    me = lk.filter("type = 'direct' AND b IS NOT NULL").agg(F.min("a").alias("y"))
+    both = lk.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(lk.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    near = both.join(F.broadcast(me), "y").select(F.col("x").alias("id"))
+    return near.unionAll(me.select("y")).filter("id IS NOT NULL").distinct()
+
+
+def _weak(spark, sf_dir):
+    d = _direct(spark, sf_dir)
+    return d, G.weak_components(spark, files(spark, sf_dir).select("id"), d.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+
+
+_WCC = "u AS (SELECT from_id AS a, to_id AS b FROM dir UNION SELECT to_id, from_id FROM dir), reach(s, t) AS (SELECT id, id FROM f UNION SELECT r.s, u.b FROM reach r JOIN u ON u.a = r.t), comp AS (SELECT t AS id, min(s) AS component FROM reach GROUP BY 1)"
+
+
+@query(sql("SELECT * FROM comp", *CHAIN, _WCC).replace("WITH", "WITH RECURSIVE", 1))
+def weak_components(spark, sf_dir):
+    return _weak(spark, sf_dir)[1]
+
+
+@query(sql("SELECT CASE WHEN c.n > 1 OR s.a IS NOT NULL THEN 'network_main' ELSE 'network_isolated' END AS network, count(*) AS node_count, CAST(sum(CASE WHEN c.n > 1 OR s.a IS NOT NULL THEN coalesce(o.n, 0) ELSE 0 END) AS BIGINT) AS edge_count FROM comp JOIN (SELECT component, count(*) n FROM comp GROUP BY 1) c USING (component) LEFT JOIN (SELECT DISTINCT from_id AS a FROM dir WHERE from_id = to_id) s ON s.a = comp.id LEFT JOIN (SELECT from_id, count(*) n FROM dir GROUP BY 1) o ON o.from_id = comp.id GROUP BY 1", *CHAIN, _WCC).replace("WITH", "WITH RECURSIVE", 1))
+def networks(spark, sf_dir):
+    """All components of two or more files together, and the files without neighbours; a self-link is a neighbour."""
+    d, comp = _weak(spark, sf_dir)
+    sizes = comp.groupBy("component").agg(F.count("*").alias("n"))
+    out = d.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("out"), F.max(F.col("from_id") == F.col("to_id")).alias("selfish"))
+    each = comp.join(sizes, "component").join(out, "id", "left")
+    main = (F.col("n") > 1) | F.coalesce("selfish", F.lit(False))
+    return each.groupBy(F.when(main, "network_main").otherwise("network_isolated").alias("network")).agg(F.count("*").alias("node_count"), F.sum(F.when(main, F.coalesce("out", F.lit(0))).otherwise(0)).alias("edge_count"))
+
+
+_VN = """vl AS (SELECT from_id AS a, to_id AS b FROM dir UNION ALL SELECT from_id, to_id FROM rt UNION ALL SELECT from_id, package_id FROM plink),
+vn AS (SELECT id, true AS is_file FROM f UNION ALL SELECT id, false FROM packages), vu AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM vl UNION ALL SELECT b, a FROM vl) WHERE a <> b),
+vc(k, c) USING KEY (k) AS (SELECT id, id FROM vn UNION SELECT vu.b, min(x.c) FROM vc x JOIN vu ON vu.a = x.k JOIN recurring.vc y ON y.k = vu.b WHERE x.c < y.c GROUP BY vu.b)"""
+
+
+@query(sql("SELECT network, CASE WHEN network = 1 THEN 'Main network (' ELSE 'Network ' || network || ' (' END || n_files || ' files)' AS label, n_files, n_packages, n_links FROM (SELECT row_number() OVER (ORDER BY count(*) DESC, c) AS network, count_if(is_file) AS n_files, count_if(NOT is_file) AS n_packages, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links FROM vc JOIN vn ON vn.id = vc.k LEFT JOIN (SELECT c.c AS lc, count(*) AS n FROM vl JOIN vc c ON c.k = vl.a GROUP BY 1) l ON l.lc = vc.c GROUP BY c)", *CHAIN, PKG, PLINK, ROUTE, _VN).replace("WITH", "WITH RECURSIVE", 1))
+def viz_networks(spark, sf_dir):
+    """Components of files and packages, the largest first, then by their first node."""
+    ends = lambda df, b: df.select(F.col("from_id").alias("a"), F.col(b).alias("b"))
+    rt = L.route_links(files(spark, sf_dir, "repo_id", "path"))
+    links, _ = Scratch(spark, "viewer").cut(ends(_direct(spark, sf_dir), "to_id").unionAll(ends(rt, "to_id")).unionAll(ends(L.package_links(_packages(spark, sf_dir)), "package_id")))
+    nodes = files(spark, sf_dir).select("id", F.lit(True).alias("is_file")).unionAll(read(spark, sf_dir, "packages").select("id", F.lit(False)))
+    comp = G.weak_components(spark, nodes.select("id"), links)
+    n_links = links.join(comp.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.count("*").alias("n_links"))
+    sizes = comp.join(nodes, "id").groupBy("component").agg(F.count("*").alias("n"), F.count_if("is_file").alias("n_files"), F.count_if(~F.col("is_file")).alias("n_packages")).join(n_links, "component", "left")
+    rows = ordinals(spark, sizes.select(F.lit("all").alias("of"), (-F.col("n")).alias("less"), "*"), "of", "less", "component")
+    label = F.concat(F.when(F.col("ordinal") == 1, "Main network (").otherwise(F.concat(F.lit("Network "), F.col("ordinal").cast("string"), F.lit(" ("))), F.col("n_files").cast("string"), F.lit(" files)"))
+    return rows.select(F.col("ordinal").alias("network"), label.alias("label"), "n_files", "n_packages", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+@query(sql("SELECT id AS node_id, 'file' AS kind, name, path, type, coalesce(importance_score, 0) AS importance_score, coalesce(description, '') AS description FROM f UNION ALL SELECT id, 'package', name, NULL, type, 0, coalesce(type, 'dependency') || ' package' || CASE WHEN coalesce(version, '') <> '' THEN ' v' || version ELSE '' END FROM packages"))
+def viz_nodes(spark, sf_dir):
+    none, zero = F.lit(None).cast("string"), F.lit(0.0)
+    a = files(spark, sf_dir, "name", "path", "type", "importance_score", "description").select(F.col("id").alias("node_id"), F.lit("file").alias("kind"), "name", "path", "type", F.coalesce("importance_score", zero).alias("importance_score"), F.coalesce("description", F.lit("")).alias("description"))
+    about = F.concat(F.coalesce("type", F.lit("dependency")), F.lit(" package"), F.when(F.coalesce("version", F.lit("")) != "", F.concat(F.lit(" v"), "version")).otherwise(""))
+    return a.unionAll(read(spark, sf_dir, "packages").select("id", F.lit("package"), "name", none, "type", zero, about))
+
+
+_FD = "fd AS (SELECT from_id, to_id, 'direct' AS type, weight, line, first_ord FROM dir UNION ALL SELECT from_id, to_id, type, weight, NULL, NULL FROM rt)"
+_SREACH = "sreach(s, t) AS (SELECT from_id, to_id FROM fd UNION SELECT r.s, d.to_id FROM sreach r JOIN fd d ON d.from_id = r.t)"
+_SCC = f"{ROUTE}, {_FD}, {_SREACH}, scc AS (SELECT x.s AS id, least(x.s, min(x.t)) AS scc, count(*) + CASE WHEN bool_or(x.t = x.s) THEN 0 ELSE 1 END AS size FROM sreach x JOIN sreach y ON y.s = x.t AND y.t = x.s GROUP BY 1 HAVING count(*) FILTER (x.t <> x.s) > 0)"
+_CYC = "cyc AS (SELECT id, scc FROM scc UNION SELECT from_id, from_id FROM fd WHERE from_id = to_id AND from_id NOT IN (SELECT id FROM scc))"
+
+
+@query(
+    sql(
+        """SELECT f.repo_id, count(*) AS total_files, CAST(coalesce(sum(len(functions)), 0) AS BIGINT) AS total_functions, CAST(coalesce(any_value(e.n), 0) AS BIGINT) AS total_connections,
+  CAST(coalesce(any_value(c.n), 0) AS BIGINT) AS circular_count, CASE WHEN count(*) > 1 THEN floor(coalesce(any_value(e.d), 0) * 1.0::DOUBLE / (count(*) * (count(*) - 1)) * 10000 + 0.5) / 10000 ELSE 0 END AS network_density,
+  floor(sum(CAST(coalesce(importance_score, 0) AS DECIMAL(18, 6)))::DOUBLE / count(*) * 100 + 0.5) / 100 AS average_importance, arg_min(f.id, (-coalesce(importance_score, 0), f.id)) AS most_important
+FROM f LEFT JOIN (SELECT g.repo_id, count(*) AS n, count_if(alln.type <> 'indirect' AND to_id IS NOT NULL) AS d FROM alln JOIN f g ON g.id = from_id GROUP BY 1) e ON e.repo_id IS NOT DISTINCT FROM f.repo_id
+LEFT JOIN (SELECT g.repo_id, count(DISTINCT scc) AS n FROM cyc JOIN f g ON g.id = cyc.id GROUP BY 1) c ON c.repo_id IS NOT DISTINCT FROM f.repo_id GROUP BY 1""",
+        *EVERY,
+        _SCC.replace(ROUTE + ", ", ""),
         _CYC,
     ).replace("WITH", "WITH RECURSIVE", 1)
 )
@@ -374,8 +499,16 @@ def viz_networks(spark, sf_dir):
     return comp.join(out, "id", "left").groupBy("component").agg(F.count("*").alias("n_files"), F.sum(F.coalesce("out", F.lit(0))).alias("n_links")).filter("n_files > 1")
 
 
+def _file_graph(spark, sf_dir):
+    """Direct and route links as rows of one table, written once."""
+    cols = ["from_id", "to_id", "type", "weight", "line", "first_ord"]
+    d = _direct(spark, sf_dir).withColumn("type", F.lit("direct")).select(*cols)
+    rt = L.route_links(files(spark, sf_dir, "repo_id", "path")).withColumns({"line": F.lit(None).cast("int"), "first_ord": F.lit(None).cast("long")}).select(*cols)
+    return Scratch(spark, "links").cut(d.unionAll(rt))[0]
+
+
 def _strong(spark, sf_dir):
-    d = _direct(spark, sf_dir)
+    d = _file_graph(spark, sf_dir)
     return d, G.strong_components(spark, d.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
 
 
@@ -395,31 +528,40 @@ def cycles(spark, sf_dir):
     return _cyclic(spark, sf_dir)[1].groupBy(F.col("scc").alias("cycle")).agg(F.count("*").alias("size"), F.lit("high").alias("risk_level"))
 
 
-@query(sql("SELECT from_id, to_id, CASE WHEN x.scc = y.scc THEN 'circular' ELSE 'direct' END AS type, CASE WHEN x.scc = y.scc THEN CAST(200 AS BIGINT) ELSE weight END AS weight FROM dir LEFT JOIN cyc x ON x.id = from_id LEFT JOIN cyc y ON y.id = to_id", *CHAIN, _SCC, _CYC).replace("WITH", "WITH RECURSIVE", 1))
+@query(sql("SELECT from_id, to_id, CASE WHEN x.scc = y.scc THEN 'circular' ELSE type END AS type, CASE WHEN x.scc = y.scc THEN CAST(200 AS BIGINT) ELSE weight END AS weight FROM fd LEFT JOIN cyc x ON x.id = from_id LEFT JOIN cyc y ON y.id = to_id", *CHAIN, _SCC, _CYC).replace("WITH", "WITH RECURSIVE", 1))
 def circular_links(spark, sf_dir):
     d, c = _cyclic(spark, sf_dir)
     both = d.join(c.select(F.col("id").alias("from_id"), F.col("scc").alias("x")), "from_id", "left").join(c.select(F.col("id").alias("to_id"), F.col("scc").alias("y")), "to_id", "left")
     inside = F.coalesce(F.col("x") == F.col("y"), F.lit(False))
-    return both.select("from_id", "to_id", F.when(inside, "circular").otherwise("direct").alias("type"), F.when(inside, F.lit(200).cast("long")).otherwise(F.col("weight")).alias("weight"))
+    return both.select("from_id", "to_id", F.when(inside, "circular").otherwise(F.col("type")).alias("type"), F.when(inside, F.lit(200).cast("long")).otherwise(F.col("weight")).alias("weight"))
 
 
-@query(sql("SELECT x.scc AS cycle, from_id AS file_id, min(line) AS line FROM dir JOIN cyc x ON x.id = from_id JOIN cyc y ON y.id = to_id AND y.scc = x.scc GROUP BY 1, 2", *CHAIN, _SCC, _CYC).replace("WITH", "WITH RECURSIVE", 1))
+@query(sql("SELECT x.scc AS cycle, from_id AS file_id, arg_min(line, coalesce(first_ord, 1000000)) AS line FROM fd JOIN cyc x ON x.id = from_id JOIN cyc y ON y.id = to_id AND y.scc = x.scc GROUP BY 1, 2", *CHAIN, _SCC, _CYC).replace("WITH", "WITH RECURSIVE", 1))
 def cycle_files_involved(spark, sf_dir):
     d, c = _cyclic(spark, sf_dir)
     x, y = c.select(F.col("id").alias("from_id"), "scc"), c.select(F.col("id").alias("to_id"), "scc")
     return d.join(x, "from_id").join(y, ["to_id", "scc"]).groupBy(F.col("scc").alias("cycle"), F.col("from_id").alias("file_id")).agg(F.min("line").alias("line"))
 
 
-_TOPO = "bad AS (SELECT DISTINCT r.s AS id FROM sreach r JOIN sreach c ON c.s = r.t AND c.t = r.t), lv(id, l) AS (SELECT id, 0 FROM f WHERE id NOT IN (SELECT id FROM bad) UNION SELECT d.from_id, lv.l + 1 FROM lv JOIN dir d ON d.to_id = lv.id WHERE d.from_id NOT IN (SELECT id FROM bad))"
+_TOPO = "treach(s, t) AS (SELECT from_id, to_id FROM dir UNION SELECT r.s, d.to_id FROM treach r JOIN dir d ON d.from_id = r.t), bad AS (SELECT DISTINCT r.s AS id FROM treach r JOIN treach c ON c.s = r.t AND c.t = r.t), lv(id, l) AS (SELECT id, 0 FROM f WHERE id NOT IN (SELECT id FROM bad) UNION SELECT d.from_id, lv.l + 1 FROM lv JOIN dir d ON d.to_id = lv.id WHERE d.from_id NOT IN (SELECT id FROM bad))"
 
 
-@query(sql("SELECT f.id, max(lv.l) AS level FROM f LEFT JOIN lv ON lv.id = f.id GROUP BY 1", *CHAIN, _SCC, _TOPO).replace("WITH", "WITH RECURSIVE", 1))
+@query(sql("SELECT f.id, max(lv.l) AS level FROM f LEFT JOIN lv ON lv.id = f.id GROUP BY 1", *CHAIN, _TOPO).replace("WITH", "WITH RECURSIVE", 1))
 def topo_level(spark, sf_dir):
     """Levels of the files that are on or above no cycle; null for the others."""
     d = _direct(spark, sf_dir)
     return G.topo_levels(spark, files(spark, sf_dir).select("id"), d.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
 
 
+@query(sql("SELECT id AS file_id, repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY CASE WHEN cyclic THEN 0 ELSE l END, id) AS position FROM (SELECT id, repo_id, l, bool_or(l IS NULL) OVER (PARTITION BY repo_id) AS cyclic FROM (SELECT f.id, any_value(f.repo_id) AS repo_id, max(lv.l) AS l FROM f LEFT JOIN lv ON lv.id = f.id GROUP BY 1))", *CHAIN, _TOPO).replace("WITH", "WITH RECURSIVE", 1))
+def topo_order(spark, sf_dir):
+    """Files of each repository behind those they need; in the order of their ids in a repository that has a cycle."""
+    level, _ = Scratch(spark, "order").cut(topo_level(spark, sf_dir).join(files(spark, sf_dir, "repo_id").select("id", "repo_id"), "id"))
+    cyclic = level.groupBy(F.col("repo_id").alias("_r")).agg(F.max(F.col("level").isNull()).alias("cyclic"))
+    keyed = level.join(cyclic, F.col("repo_id").eqNullSafe(F.col("_r"))).select("id", "repo_id", F.when(F.col("cyclic"), 0).otherwise(F.col("level")).alias("level"))
+    return ordinals(spark, keyed, "repo_id", "level", "id").select(F.col("id").alias("file_id"), "repo_id", F.col("ordinal").alias("position"))
+
+
 _NOEXT = "regexp_replace({}, '\\.\\w+$', '')"
 _LIT = f"lit AS (SELECT DISTINCT i.from_id, g.id AS to_id FROM imp i JOIN f g ON g.repo_id = i.repo_id AND {_NOEXT.format('g.path')} = {_NOEXT.format('i.i.source')} WHERE g.id <> i.from_id)"
 
