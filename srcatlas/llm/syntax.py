@@ -8,6 +8,7 @@ changes no result. The first token that has no entry is the file's first unrecov
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
@@ -138,6 +139,28 @@ def parse(kinds: str, g: Grammar, good: dict) -> int:
     return -1
 
 
+@lru_cache
+def _targets(ts: bool) -> re.Pattern:
+    """Token streams in which something is assigned to, or counted up, that is no target: a literal or the end of an operation.
+
+    In TypeScript the signs that types use as well are left out, and so are literals behind them.
+    """
+    literal = "[NSTR" + "".join(KINDS[w] for w in ("true", "false", "null", "this")) + "]"
+    signs = re.escape(KINDS["BINOP"] + "+/" + ("" if ts else "-&|!~<>"))
+    words = "" if ts else "".join(KINDS[w] for w in ("typeof", "void", "delete", "new"))
+    put = f"[={KINDS['ASSIGNOP']}]"
+    chain = f"I(?:{NL}?[.{KINDS['?.']}]{NL}?[I{KEYWORDS}P])*"
+    times = f"(?<!{KINDS['yield']})\\*" if not ts else "(?!)"
+    before = f"[{signs}={KINDS['ASSIGNOP']}{KINDS['return']}{KINDS['=>']}" + ("" if ts else "(,?:\\[") + "]"
+    return re.compile(f"(?:(?:[{signs}{words}]|{times}){NL}?{chain}|{before}{NL}?{literal}){NL}?(?P<at>{put})|(?<![.{KINDS['?.']}]){literal}(?P<up>{KINDS['INC']})|{KINDS['INC']}(?P<down>[NSR])")
+
+
+def bad_target(kinds: str, ts: bool) -> int:
+    """The index of the first sign that assigns to what can't be assigned to, or -1."""
+    m = _targets(ts).search(kinds)
+    return max(m.start(g) for g in ("at", "up", "down")) if m else -1
+
+
 def first_error(path: str, content: str) -> tuple[int, int, str] | None:
     """(line, column, message) of the first error of a file by the extension of its path, or None."""
     if sys.getrecursionlimit() < _DEEP:
@@ -147,6 +170,9 @@ def first_error(path: str, content: str) -> tuple[int, int, str] | None:
     try:
         kinds, at = json_kinds(content) if is_json else script_kinds(content, bool(ts), bool(jsx))
         bad = parse(kinds, g, good)
+        if bad < 0 and not is_json and (target := bad_target(kinds, bool(ts))) >= 0:
+            where, why = at[target], "invalid assignment target"
+            return content.count("\n", 0, where) + 1, where - content.rfind("\n", 0, where), why
         if bad < 0:
             return None
         where, why = at[min(bad, len(at) - 1)], "unexpected end" if kinds[bad] == EOF else "unexpected token"

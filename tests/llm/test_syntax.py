@@ -75,3 +75,14 @@ def test_deep_nesting_does_not_crash():
     n = 3000
     assert first_error("a.js", "a = " + "`${" * n + "1" + "}`" * n) is None
     assert first_error("a.jsx", "a = " + "<b>{" * n + "1" + "}</b>" * n) is None
+
+
+def test_assignment_targets():
+    for src in ("a + b = c", "a && b.c = d", "-a = 1", "x = 5 = y", "(1 = x)", "5++", "++5", "typeof a = b", "f(null = 1)", "a ? b : 3 = c", "x = a * b = c", "if (a < b = c) d", "'s'++"):
+        assert first_error("a.js", src) is not None, src
+    good = ["a = b + c", "a = b\n= c", "a ? b : c = d", "x => x = 1", "(a = -b, c = d)", "class A { x = a + b\n y = 1; static z = 2; 'q' = 3; 4 = 5 }", "function* f() { yield* a = b }", "[a = 1, b] = c", "({ a = 1, b: c = 2 } = d)", "a.true = 1; b.this = 2; a[0] = 1; f().x = 3", "i++\nj = 1", "a\n++b", "for (const x in y = z);", "a = b ? 1 : 2, c = d", "x[a + b] = c", "let a = 1, b = a + 2, c = 3", "a = /x/; b = `t`"]
+    for src in good:
+        assert first_error("a.js", src) is None, (src, first_error("a.js", src))
+    for src in ("let a: true = true, b: 5 = 5, c: null = null, d: 's' = 's'", "function f(a: 1 | 2 = 1, b?: typeof c = d) {}", "type A<T = string | B> = T", "enum E { A = 1, B = A + 1, 'c' = 3 }", "class A { a: number = 1; b = this.c - 1\n d = 2 }", "a! = b; (a as B) = c", "let x: A & B = c"):
+        assert first_error("a.ts", src) is None, (src, first_error("a.ts", src))
+    assert first_error("a.ts", "a + b = c") is not None and first_error("a.ts", "a && b = c") is not None
