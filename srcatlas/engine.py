@@ -25,6 +25,11 @@ CACHE_VERSION = 1
 BACKOFF = (1.0, 2.0, 4.0, 8.0, 16.0)  # seconds before each new attempt
 
 
+def least_delay(tokens_per_minute: int) -> float:
+    """Seconds between two calls under a limit of tokens a minute. A call is taken for 1,000 tokens, with half as much again and half a second at least."""
+    return max(500.0, 60_000 / (tokens_per_minute / 1000) * 1.5) / 1000
+
+
 def with_retries(call: Callable[[], str], delays: tuple[float, ...] = BACKOFF, sleep: Callable[[float], None] = time.sleep) -> str:
     """What call returns, tried again after each delay; the last failure is raised. A refusal for too many calls waits as long as it says, or longer."""
     for attempt in range(len(delays) + 1):
@@ -130,13 +135,13 @@ class Engine:
     def describe(self) -> DataFrame:
         return file_description(self.files.filter("type = 'code'"))
 
-    def summarize(self, provider: str | Callable[[dict], str] = "heuristic", cache: DataFrame | None = None, delays: tuple[float, ...] = BACKOFF) -> tuple[DataFrame, DataFrame]:
+    def summarize(self, provider: str | Callable[[dict], str] = "heuristic", cache: DataFrame | None = None, delays: tuple[float, ...] = BACKOFF, parallelism: int | None = None, tokens_per_minute: int | None = None) -> tuple[DataFrame, DataFrame]:
         """Describe the code files; returns (statistics, cache to keep).
 
         provider: "none" leaves all descriptions empty, "heuristic" uses rules, a function gets a file's facts (path, name, language,
         hash, content, imports, exports, functions) and returns a reply, tried again when it fails; one that fails for good leaves the
         description empty. Files whose (path, hash) the cache holds with a description are not asked for. Caches of another version are empty.
-        Calls run as many at a time as there are tasks.
+        Calls run in `parallelism` tasks (1 to 16; as many as there are cores by default). With tokens_per_minute they run in one, with the delay that limit asks for.
         """
         code = (F.col("type") == "code") & F.coalesce("summarizable", F.lit(True)) if "summarizable" in self.files.columns else F.col("type") == "code"
         empty = self.spark.createDataFrame([], CACHE)
@@ -149,7 +154,8 @@ class Engine:
         joined = self.files.drop("description", "tags").join(old, ["path", "hash"], "left").withColumn("_ask", code & ~skip & F.col("_c").isNull())
         asked = joined.filter("_ask")
         if callable(provider):
-            said = self._asked(asked, provider, delays)
+            lanes = 1 if tokens_per_minute else max(1, min(16, parallelism)) if parallelism else self.spark.sparkContext.defaultParallelism
+            said = self._asked(asked, provider, delays, lanes, least_delay(tokens_per_minute) if tokens_per_minute else 0.0)
         else:
             said = file_description(asked).select(F.col("file_id").alias("id"), F.struct("description", F.array().cast("array<string>").alias("tags")).alias("_p"))
         told = joined.join(said, "id", "left")
@@ -159,7 +165,7 @@ class Engine:
         stats = done.agg(F.lit(provider if isinstance(provider, str) else getattr(provider, "__name__", "provider")).alias("provider"), F.count_if("_ask").alias("files"), F.count_if("_hit").alias("files_from_cache"))
         return stats, done.filter("description <> '' AND (_ask OR _hit)").select("path", "hash", "description", "tags", F.lit(CACHE_VERSION).alias("version"))
 
-    def _asked(self, files: DataFrame, provider: Callable[[dict], str], delays: tuple[float, ...]) -> DataFrame:
+    def _asked(self, files: DataFrame, provider: Callable[[dict], str], delays: tuple[float, ...], lanes: int, pause: float) -> DataFrame:
         names = lambda c, k: F.transform(F.coalesce(c, F.array().cast(dict(files.dtypes)[c])), lambda x: x[k])
         facts = files.select("id", "path", "name", "language", "hash", "content", names("imports", "source").alias("imports"), names("exported", "name").alias("exports"), names("functions", "name").alias("functions"))
 
@@ -167,13 +173,14 @@ class Engine:
             for b in batches:
                 out = []
                 for row in b.to_dict("records"):
+                    time.sleep(pause)
                     try:
                         out.append(with_retries(lambda row=row: provider(row), delays) or "")
                     except Exception:
                         out.append("")
                 yield pd.DataFrame({"id": b["id"], "reply": out})
 
-        replies, _ = self._scratch.cut(facts.repartition(self.spark.sparkContext.defaultParallelism).mapInPandas(run, f"id {dict(files.dtypes)['id']}, reply string"))
+        replies, _ = self._scratch.cut(facts.repartition(lanes).mapInPandas(run, f"id {dict(files.dtypes)['id']}, reply string"))
         return replies.select("id", S.parse_response(F.col("reply")).alias("_p"))
 
     def search(self, text: str, limit: int | None = 10) -> DataFrame:
@@ -200,6 +207,11 @@ class Engine:
         hit = F.contains(F.lower("path"), q) | F.contains(F.lower(F.coalesce("description", F.lit(""))), q) | tagged
         return self.files.filter(hit).orderBy("repo_id", "id").limit(limit or 10).select("id", "path", "description", "importance_score")
 
+    def query(self, text: str, limit: int | None = 5) -> DataFrame:
+        """Whole rows of the files search_files finds, 20 at most; a text counts up to 200 characters."""
+        found = self.search_files(text[:200], min(20, limit or 5)).select("id")
+        return self.files.join(found, "id", "left_semi")
+
     def get_file(self, path: str) -> DataFrame:
         return self.files.filter(F.col("path") == path)
 
@@ -233,6 +245,11 @@ class Engine:
         index = self.files.select("repo_id", "id", "name", "path", "type", "language", "size_bytes", "hash", F.substring("description", 1, 200).alias("description"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "importance_score", "usage_count")
         repository.save({"files": self.files, "files_index": index, "packages": self.packages, **self._map}, root)
 
+    def export_json(self, root: str) -> None:
+        """The tables as lines of JSON below root."""
+        for name, df in {"files": self.files, "packages": self.packages, **self._map}.items():
+            df.write.mode("overwrite").json(f"{root}/{name}")
+
     @classmethod
     def load(cls, spark: SparkSession, root: str) -> Engine:
         files, packages = repository.load(spark, root, "files"), repository.load(spark, root, "packages")

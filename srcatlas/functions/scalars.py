@@ -263,3 +263,11 @@ def progress_bar(done: Column, total: Column, width: int = 40) -> Column:
     filled = F.floor(done * width / total + 0.5).cast("int")
     parts = [F.floor(done / total * 100 + 0.5).cast("string"), F.lit("% ▕"), F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), width - filled), F.lit("▏ ("), done.cast("string"), F.lit("/"), total.cast("string"), F.lit(")")]
     return F.when(total > 0, F.concat(*parts))
+
+
+# Messages that only tell progress.
+LOG_NOISE = [r"^\d+%", r"\[=*>*\s*\]", "░", "█", r"Scanned \d+ files", r"Summarizing\s+\d+\s+files"]
+
+
+def is_log_noise(message: Column) -> Column:
+    return F.coalesce(any_match(F.regexp_replace(message, "\u001b\\[[0-9;]*[A-Za-z]", ""), LOG_NOISE), F.lit(False))

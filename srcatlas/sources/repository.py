@@ -126,6 +126,25 @@ def context(root: str, context_tokens: int = 4096) -> str:
     return text if len(text) <= budget else text[:budget] + "\n... [truncated]"
 
 
+# Marks around the note for agents.
+NOTE_START, NOTE_END = "<!-- srcatlas:start -->", "<!-- srcatlas:end -->"
+
+
+def note(root: str, folder: str = ".srcatlas") -> str:
+    """Put a note for agents at the head of the tree's context file, AGENTS.md if there is none: "created", "updated", or "kept" where it stands already."""
+    name = next((n for n in ["AGENTS.md", *CONTEXT] if os.path.isfile(os.path.join(root, n))), None)
+    text = f"{NOTE_START}\nTables of this repository's files, links and descriptions lie in `{folder}`; look there before reading sources one by one.\nAfter changes, `python -m srcatlas analyze` makes them anew.\n{NOTE_END}\n"
+    old = ""
+    if name:
+        with open(os.path.join(root, name), errors="surrogateescape") as f:
+            old = f.read()
+        if NOTE_START in old and NOTE_END in old:
+            return "kept"
+    with open(os.path.join(root, name or "AGENTS.md"), "w", errors="surrogateescape") as f:
+        f.write(text + ("\n" + old if name else ""))
+    return "updated" if name else "created"
+
+
 def merged(*layers: dict) -> dict:
     """Settings of later layers over earlier ones, objects merged key by key."""
     out: dict = {}

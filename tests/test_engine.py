@@ -3,7 +3,7 @@
 import pytest
 
 from srcatlas.__main__ import main
-from srcatlas.engine import Engine, with_retries
+from srcatlas.engine import Engine, least_delay, with_retries
 from srcatlas.sources import repository as R
 
 TREE = {
@@ -111,6 +111,15 @@ def test_save_and_commands(spark, engine, tree, tmp_path, capsys):
         Engine.scan(spark, str(tmp_path / "none"))
 
 
+def test_query_and_export(spark, engine, tmp_path):
+    assert {r["path"] for r in engine.query("ring", 50).collect()} == {"src/ring/a.ts", "src/ring/b.ts"} and engine.query("").count() == 5
+    engine.export_json(str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j" / "files")).count() == 9
+    slow, _ = engine.summarize(lambda f: f["path"], delays=(), tokens_per_minute=200_000_000)
+    assert slow.first()["files"] == 7 and engine.files.filter("path = 'src/App.js'").first()["description"] == "src/App.js"
+    assert least_delay(6000) == 15.0 and least_delay(10**9) == 0.5
+
+
 def test_empty_tree(spark, tmp_path):
     e = Engine.scan(spark, str(tmp_path))
     m = e.map()
@@ -139,3 +148,11 @@ def test_settings_and_context(tmp_path):
     assert got == {"ai": {"model": "x", "tier": 1, "url": "u"}, "n": 1}
     (tmp_path / "AGENTS.md").write_text("y" * 3000)
     assert R.context(str(tmp_path), 4096).endswith("... [truncated]") and R.context(str(tmp_path), 700) == ""
+
+
+def test_note(tmp_path):
+    assert R.note(str(tmp_path)) == "created" and R.note(str(tmp_path)) == "kept"
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "context.md").write_text("# Mine")
+    assert R.note(str(other)) == "updated" and (other / "context.md").read_text().endswith("\n\n# Mine")

@@ -152,3 +152,10 @@ def test_indirect(spark):
 def test_routes(spark):
     f = spark.createDataFrame([("r", "1", "app/users.tsx"), ("r", "2", "app/users/page.tsx"), ("r", "3", "app/x.ts"), ("r", "4", "src/pages/layout.js"), ("r", "5", "src/pages/layout/a.js")], "repo_id string, id string, path string")
     assert {(r["from_id"], r["to_id"], r["type"], r["weight"]) for r in L.route_links(f).collect()} == {("1", "2", "route", 60), ("4", "5", "layout", 90)}
+
+
+def test_folders_shadow_files(spark):
+    """As a file system answers: `./utils` is the folder if there is one, though utils.js lies beside it."""
+    f = spark.createDataFrame([("r", "1", "src/a.js", [("./utils", "file", 1), ("./util", "file", 2)]), ("r", "2", "src/utils.js", []), ("r", "3", "src/utils/index.js", []), ("r", "4", "src/util.js", []), ("q", "5", None, None)], FILES)
+    got = lambda **k: {(r["source"], r["to_id"]) for r in L.resolve_files(L.imports_of(f), f, **k).collect()}
+    assert got() == {("./utils", "2"), ("./util", "4")} and got(folders=True) == {("./util", "4")}

@@ -120,3 +120,57 @@ def test_description_reads_whole_contents(spark):
     row = ("1", "a.js", "lib/a.js", "javascript", [], [], [], "// header\n" * 80 + "useState(0)")
     f = spark.createDataFrame([row], f"id string, name string, path string, language string, imports {IMPORTS}, exported {EXPORTED}, functions {FUNCTIONS}, content string")
     assert "manages local component state" in file_description(f).first()["description"]
+
+
+def test_legacy_map(spark, tmp_path):
+    """A map saved as one JSON file is read where there is no table of that name."""
+    (tmp_path / "map.json").write_text('{"files": [{"id": "file_001", "path": "a.js"}, {"id": "file_002", "path": "b.js"}], "packages": []}')
+    assert [r["path"] for r in R.load(spark, str(tmp_path), "files").orderBy("id").collect()] == ["a.js", "b.js"]
+    assert R.load(spark, str(tmp_path), "links") is None
+
+
+def test_ordinals(spark):
+    """Numbers within a key without gaps, also where one key holds most rows; nulls are a key."""
+    from srcatlas.runtime import ordinals
+
+    df = spark.range(5000).selectExpr("CASE WHEN id % 10 < 8 THEN 'hot' WHEN id % 10 = 8 THEN 'k' END AS key", "(id * 7919) % 5000 AS v")
+    got = ordinals(spark, df, "key", "v").collect()
+    for k in ("hot", "k", None):
+        mine = sorted((r["v"], r["ordinal"]) for r in got if r["key"] == k)
+        assert [n for _, n in mine] == list(range(1, len(mine) + 1))
+    assert ordinals(spark, df.limit(0), "key", "v").count() == 0
+
+
+def test_head_bytes_and_waits(spark):
+    from pyspark.sql import functions as F
+
+    from srcatlas.functions import scalars as S
+
+    df = spark.createDataFrame([("aé", None, None, None), ("é" * 3, "2", "1m0.5s", None), (None, "x", "3s", "1m"), ("", "1.5", None, "")], "t string, a string, b string, c string")
+    got = df.select(S.head_bytes(F.col("t"), 2).alias("h"), S.retry_wait(F.col("a"), F.col("b"), F.col("c")).alias("w")).collect()
+    assert [r["h"] for r in got] == ["a\ufffd", "é", None, ""] and [r["w"] for r in got] == [None, 60500.0, 60000.0, 1500.0]
+
+
+def test_log_noise(spark):
+    from pyspark.sql import functions as F
+
+    from srcatlas.functions import scalars as S
+
+    told = {"45% done": True, "at 45%": False, "[==>  ]": True, "\x1b[32m10%\x1b[0m": True, "Scanned 12 files": True, "█": True, "saved": False, None: False}
+    df = spark.createDataFrame([(m,) for m in told], "m string")
+    assert {r["m"]: r["n"] for r in df.select("m", S.is_log_noise(F.col("m")).alias("n")).collect()} == told
+
+
+def test_classification_by_hand(spark):
+    """Categories and languages as literal values, apart from the tables."""
+    from pyspark.sql import functions as F
+
+    from srcatlas.functions import scalars as S
+
+    told = {
+        "a.ts": ("code", "typescript"), "b.css": ("style", "css"), "c.md": ("docs", "markdown"), "d.png": ("media", "unknown"), "e.sql": ("database", "sql"), "f.json": ("config", "json"), ".env.example": ("config", "dotenv"), "random.bin": ("other", "unknown"),
+        "x.tsx": ("code", "typescriptreact"), "x.jsx": ("code", "javascriptreact"), "x.mjs": ("code", "javascript"), "x.vue": ("code", "vue"), "y.yml": ("config", "yaml"), "y.toml": ("config", "toml"), "s.scss": ("style", "scss"), "h.htm": ("docs", "html"), "i.svg": ("media", "svg"),
+        "z.tar": ("archive", "unknown"), "f.woff2": ("font", "unknown"), "p.pdf": ("binary", "unknown"), "w.wasm": ("binary", "unknown"), "d.sqlite": ("database", "unknown"), "Dockerfile": ("config", "unknown"), "README": ("docs", "unknown"), ".gitignore": ("config", "unknown"), "A.TS": ("code", "typescript"), ".env": ("config", "dotenv"), "noext": ("other", "unknown"),
+    }
+    df = spark.createDataFrame([(n,) for n in told], "n string")
+    assert {r["n"]: (r["c"], r["l"]) for r in df.select("n", S.category(F.col("n")).alias("c"), S.language(F.col("n")).alias("l")).collect()} == told
