@@ -125,12 +125,13 @@ class Engine:
     def _statistics(self, links: DataFrame, cycles: DataFrame) -> DataFrame:
         n_functions = F.greatest(F.coalesce(F.size("functions"), F.lit(0)), F.lit(0))
         best = F.min_by("id", F.struct((-F.col("importance_score")).alias("s"), "id"))
+        one = lambda df: self.spark.createDataFrame(df.collect(), df.schema).withColumn("_", F.lit(1))  # noqa: E731 - a row each
         f = self.files.agg(F.count("*").alias("total_files"), F.coalesce(F.sum(n_functions), F.lit(0)).alias("total_functions"), F.avg("importance_score").alias("mean"), best.alias("most_important_file"))
         k = links.agg(F.count("*").alias("total_connections"), F.count_if((F.col("type") != "indirect") & F.col("to_id").isNotNull()).alias("inner"))
         c = cycles.agg(F.count("*").alias("circular_dependency_count"))
         pairs = F.col("total_files") * (F.col("total_files") - 1)
         density = F.when(pairs > 0, S.round_half_up(F.col("inner") / pairs, 4)).otherwise(0.0)
-        return f.crossJoin(k).crossJoin(c).select("total_files", "total_functions", "total_connections", "circular_dependency_count", density.alias("network_density"), S.round_half_up(F.coalesce("mean", F.lit(0.0)), 2).alias("average_file_importance"), "most_important_file")
+        return one(f).join(one(k), "_").join(one(c), "_").select("total_files", "total_functions", "total_connections", "circular_dependency_count", density.alias("network_density"), S.round_half_up(F.coalesce("mean", F.lit(0.0)), 2).alias("average_file_importance"), "most_important_file")
 
     def describe(self) -> DataFrame:
         return file_description(self.files.filter("type = 'code'"))

@@ -233,10 +233,11 @@ def importance(spark: SparkSession, nodes: DataFrame, links: DataFrame, simultan
         scratch.drop(path)
         now, path = base, bpath
         while chained:
-            at = now
-            for _ in range(_HOPS):
-                at = base.join(gain(at, new, c), "id", "left").select("id", (F.col("x") + F.coalesce("g", F.lit(0.0))).alias("x"))
-            nxt, npath = scratch.cut(at.join(now.select("id", F.col("x").alias("was")), "id").select("id", "x", (F.abs(F.col("x") - F.col("was")) > 1e-12 * F.greatest(F.lit(1.0), F.abs("x"))).alias("moved")))
+            at = last = now
+            for _ in range(2 * _HOPS):
+                last, at = at, base.join(gain(at, new, c), "id", "left").select("id", (F.col("x") + F.coalesce("g", F.lit(0.0))).alias("x"))
+            # The last hop tells whether another round is needed.
+            nxt, npath = scratch.cut(at.join(last.select("id", F.col("x").alias("was")), "id").select("id", "x", (F.abs(F.col("x") - F.col("was")) > 1e-12 * F.greatest(F.lit(1.0), F.abs("x"))).alias("moved")))
             if path != bpath:
                 scratch.drop(path)
             moved = not nxt.filter("moved").isEmpty()

@@ -12,6 +12,7 @@ from ..operators import statements
 from ..operators.compaction import body_records
 from ..operators.describe import file_description
 from .base import files, latest, ranked, read, sql, versions
+from .file_queries import _KEPT as KEPT
 from .graph_queries import IMP, RES, TGT
 
 QUERIES: dict = {}
@@ -202,14 +203,38 @@ def prompt_input(spark, sf_dir):
 _HEAD = "'File: ' || name || chr(10) || 'Path: ' || path || chr(10) || 'Language: ' || coalesce(language, 'unknown') || chr(10) || 'Size: ' || coalesce(size_bytes, 0) || ' bytes' || chr(10) || 'Exports: ' || CASE WHEN len(coalesce(exported, [])) = 0 THEN 'none' ELSE array_to_string(list_transform(exported, lambda e: e.name), ', ') END || chr(10) || 'Imports: ' || CASE WHEN len(coalesce(imports, [])) = 0 THEN 'none' ELSE array_to_string(list_transform(imports, lambda i: i.source), ', ') END || chr(10) || 'Functions defined: ' || len(coalesce(functions, []))"
 
 
-@query(sql(f"SELECT id AS file_id, {_HEAD} AS prompt FROM f WHERE type = 'code'"))
-def render_file_prompt(spark, sf_dir):
-    """The facts block of the file prompt."""
+def _facts():
     listed = lambda c, field: F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, "none").otherwise(F.array_join(F.transform(c, lambda x: x[field]), ", "))
     line = lambda label, v: F.concat(F.lit(label + ": "), v)
     n = F.greatest(F.coalesce(F.size("functions"), F.lit(0)), F.lit(0)).cast("string")
-    text = F.concat_ws("\n", line("File", F.col("name")), line("Path", F.col("path")), line("Language", F.coalesce("language", F.lit("unknown"))), line("Size", F.concat(F.coalesce("size_bytes", F.lit(0)).cast("string"), F.lit(" bytes"))), line("Exports", listed("exported", "name")), line("Imports", listed("imports", "source")), line("Functions defined", n))
-    return files(spark, sf_dir, "name", "path", "type", "language", "size_bytes", "exported", "imports", "functions").filter("type = 'code'").select(F.col("id").alias("file_id"), text.alias("prompt"))
+    return F.concat_ws("\n", line("File", F.col("name")), line("Path", F.col("path")), line("Language", F.coalesce("language", F.lit("unknown"))), line("Size", F.concat(F.coalesce("size_bytes", F.lit(0)).cast("string"), F.lit(" bytes"))), line("Exports", listed("exported", "name")), line("Imports", listed("imports", "source")), line("Functions defined", n))
+
+
+ASK_FILE = "Say in one paragraph of four to six sentences what this code does, what it works with and what it offers to others. Where the beginning above does not show it, say so.\nAnswer as JSON with the keys description and tags (three to five lower-case words)."
+ASK_PART = "Note in a few sentences what this part does; the next part follows."
+_Q = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_START = f"(SELECT coalesce(nullif(left(content, k) || CASE WHEN strlen(left(content, k)) < 500 AND strlen(content) > strlen(left(content, k)) THEN '\ufffd' ELSE '' END, ''), '(no preview)') FROM (SELECT {KEPT} AS k))"
+
+
+@query(sql(f"SELECT id AS file_id, {_HEAD} || chr(10) || chr(10) || 'The file begins:' || chr(10) || coalesce({_START}, '(no preview)') || chr(10) || chr(10) || {_Q(ASK_FILE)} AS prompt FROM f WHERE type = 'code'"))
+def render_file_prompt(spark, sf_dir):
+    """The facts of a file, its first 500 bytes and what is asked."""
+    start = F.coalesce(F.nullif(S.head_bytes(F.col("content"), 500), F.lit("")), F.lit("(no preview)"))
+    prompt = F.concat(_facts(), F.lit("\n\nThe file begins:\n"), start, F.lit("\n\n" + ASK_FILE))
+    return files(spark, sf_dir, "type", prompt=prompt).filter("type = 'code'").select(F.col("id").alias("file_id"), "prompt")
+
+
+_CUT6 = _CUT.replace("901, 200", "5901, 200").replace("+ 900", "+ 5900").replace("1000", "6000")
+
+
+@query(sql(f"SELECT file_id, CAST(part_no AS INTEGER) AS part_no, head || chr(10) || chr(10) || 'Part ' || (part_no + 1) || ' of ' || count(*) OVER (PARTITION BY file_id) || ':' || chr(10) || substring(content, a + 1, b - a) || chr(10) || chr(10) || CASE WHEN b >= length(content) THEN {_Q(ASK_FILE)} ELSE {_Q(ASK_PART)} END AS prompt FROM ck", f"ck(file_id, head, content, part_no, a, b) AS (SELECT id, {_HEAD}, content, 0, 0, {_CUT6.format('0')} FROM f WHERE content IS NOT NULL AND type = 'code' UNION ALL SELECT file_id, head, content, part_no + 1, b, {_CUT6.format('b')} FROM ck WHERE b < length(content))").replace("WITH", "WITH RECURSIVE", 1))
+def render_part_prompts(spark, sf_dir):
+    """One prompt for each part of about 6,000 characters of a code file; the last asks for the description."""
+    rows = files(spark, sf_dir, "type", "content", head=_facts()).filter("type = 'code' AND content IS NOT NULL").withColumn("parts", S.chunks(F.col("content"), 6000))
+    each = rows.select("id", "head", F.size("parts").alias("n"), F.posexplode("parts").alias("part_no", "text"))
+    ask = F.when(F.col("part_no") == F.col("n") - 1, ASK_FILE).otherwise(ASK_PART)
+    prompt = F.concat("head", F.lit("\n\nPart "), (F.col("part_no") + 1).cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(":\n"), "text", F.lit("\n\n"), ask)
+    return each.select(F.col("id").alias("file_id"), "part_no", prompt.alias("prompt"))
 
 
 @query(sql("SELECT DISTINCT f.id AS file_id, u.x.id AS symbol_id, 'Name: ' || u.x.name || chr(10) || 'Kind: ' || u.x.type || chr(10) || 'Signature: ' || coalesce(u.x.signature, '') || chr(10) || 'File: ' || f.path AS prompt FROM f, UNNEST(f.functions) u(x)"))
@@ -252,7 +277,7 @@ def extract_failures(spark, sf_dir):
     return _extracted(spark, sf_dir).filter("error IS NOT NULL").select("file_id", "error")
 
 
-# Extensions of ours, not in the reference: event-time windows over the events table.
+# An extension: event-time windows over the events table.
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def events_daily(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(F.date_format(F.window("ts", "1 day")["start"], "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))

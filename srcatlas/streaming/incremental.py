@@ -1,4 +1,4 @@
-"""Structured Streaming: incremental recomputation of changed files, and event windows (ours, not in the reference)."""
+"""Structured Streaming: incremental recomputation of changed files, and event windows (an extension)."""
 
 from __future__ import annotations
 
