@@ -71,7 +71,8 @@ def strong_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         done, dpath = scratch.cut(color.join(part, "v").select(F.col("v").alias("id"), F.col("c").alias("scc")))
         parts.append(dpath)
         gone = part.withColumnRenamed("v", "a")
-        nlive, npath = scratch.cut(live.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"))
+        # Ends of different colours lie on no common cycle.
+        nlive, npath = scratch.cut(same.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti").select(F.col("b").alias("a"), F.col("a").alias("b")))
         scratch.drop(path, cpath, spath, ppath)
         live, path = nlive, npath
     schema = f"id {kind}, scc {kind}"
