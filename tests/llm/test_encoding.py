@@ -1,4 +1,6 @@
-from srcatlas.llm.encoding import restored
+from collections import Counter
+
+from srcatlas.llm.encoding import alphabet, restored
 
 CLEAN = {
     "fr": "Le système vérifié est enregistré à côté du résumé dès que l’analyse est terminée",
@@ -67,3 +69,16 @@ def test_characters_the_corpus_does_not_know(spark):
     got = {r["doc_id"]: r["restored_text"] for r in restored(spark, df).collect()}
     assert set(got) == set(told)
     assert got[5000] == told[5000] and got[5003] == told[5003]
+
+
+def test_counts_characters_of_every_text(spark, monkeypatch):
+    """The bigram model counts all texts, those without a non-ASCII character too, and a repeated text as often as its weight."""
+    texts = ["déjà vu", "déjà vu", "zip zap", "plain words only", "caf&#233; in ASCII"]
+    sent, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or broadcast(value))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert restored(spark, df).count() == 0
+    pairs, counts, _ = next(v for v in sent if isinstance(v, tuple) and len(v) == 3)
+    number, size = alphabet(), len(alphabet()) + 2
+    want = Counter(number[a] * size + number[b] for t in texts for a, b in zip("\n" + t, t + "\n"))
+    assert dict(zip(pairs.tolist(), counts.tolist())) == want
